@@ -16,6 +16,7 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 import pyspark.sql.types as T
 import regex
@@ -177,7 +178,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _steps(text: pa.Array) -> Iterator[tuple[int, int]]:
     """Slices of about a million bytes."""
-    size = np.cumsum(np.asarray(pa.compute.binary_length(text).fill_null(0)))
+    size = np.cumsum(np.asarray(pc.binary_length(text).fill_null(0)))
     begin = 0
     while begin < len(text):
         end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + _STEP_CHARS, "right")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from stemline.llm import bpe, lookalike, packing, survivor
+from stemline.llm import aliases, bktree, bpe, lookalike, packing, reading, survivor
 from stemline.session import table
 
 ETY_KEY, ETY_FIELDS = ["word_id", "ordinal"], ["label", "pos_list", "shape", "confidence", "gloss"]
@@ -69,5 +69,34 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy((F.floor(F.col("tokens") * 100 / packing.CAPACITY)).alias("percent")).agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p6_found, p6_records, p8_ids, p9_containers, p9_fill)}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return aliases.match_aliases(table(spark, sf, "language_alias"), table(spark, sf, "languages"))
+
+
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed texts with the name and code they mean, or marked as unmatched, and how often each was typed."""
+    typed = table(spark, sf, "language_alias").where("lang_id IS NULL").select("alias_id", "alias")
+    languages = table(spark, sf, "languages").select("lang_id", "name", "wikt_code")
+    found = p4_found(spark, sf).join(languages, "lang_id", "left").join(typed, "alias_id")
+    return found.groupBy("alias", "name", "wikt_code", (F.col("lang_id") >= 0).alias("matched")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def p4_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The name of the list nearest to each typed text by the plain edit metric, within 3 edits."""
+    typed = table(spark, sf, "language_alias").where("lang_id IS NULL").select(F.lower(F.trim("alias")).alias("alias"))
+    names = table(spark, sf, "languages").select(F.lower("name").alias("name"))
+    return bktree.nearest(typed, "alias", names, "name", most=3)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_label"))
+
+
+def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus by reading level and kind of document."""
+    d = table(spark, sf, "documents").select("doc_id", "kind", "n_chars")
+    return p10_found(spark, sf).join(d, "doc_id").groupBy("level", "kind").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("characters"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p4_found, p4_report, p4_nearest, p6_found, p6_records, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}
 SQL = {"p6_found": P6_SQL}
