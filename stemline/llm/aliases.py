@@ -85,6 +85,7 @@ class Matcher:
                 self.starts.setdefault(s[:n], set()).add(s)
         self.start_tree = BKTree(sorted(self.starts))
         self.memo: dict[str, int] = {}
+        self.found: dict[tuple[str, bool], tuple[int, str] | None] = {}
 
     def match(self, text: str | None) -> int:
         if text is None:
@@ -148,6 +149,13 @@ class Matcher:
         return best[1] if best else -1
 
     def _stem(self, stem: str, short: bool) -> tuple[int, str] | None:
+        if (stem, short) not in self.found:
+            if len(self.found) > _KEEP:
+                self.found.clear()
+            self.found[stem, short] = self._nearest_stem(stem, short)
+        return self.found[stem, short]
+
+    def _nearest_stem(self, stem: str, short: bool) -> tuple[int, str] | None:
         """The nearest stem of the list, or the only one that a shortened name begins."""
         if len(stem) < SHORTEST:
             return None
