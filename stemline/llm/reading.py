@@ -17,6 +17,8 @@ import pyspark.sql.functions as F
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 
+from stemline.session import cut
+
 LEVELS = ("basic", "intermediate", "advanced")
 #: A document is plain if its sentences have at most so many words on average.
 PLAIN_WORDS = 14
@@ -219,7 +221,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     """
     spark = documents.sparkSession
     english = documents.where((F.col(lang_col) == "en") & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    familiar, counted = word_lists(document_frequencies(english))
+    # written once: two looks are taken at the counts, and counting reads the whole corpus
+    familiar, counted = word_lists(cut(document_frequencies(english)))
     rated = labels.where(F.col("level").isin(*LEVELS) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("level").alias("level"))
     rated = rated.orderBy("doc_id").limit(MAX_RATED)
     lists = spark.sparkContext.broadcast((familiar, counted))
