@@ -187,7 +187,7 @@ def _compose(t: _Tables, cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, n
         joined = (whole >= 0) & ((blocking[b] < ccc) | (blocking[b] < 0))
         cp[b[joined]] = whole[joined]
         gone[m[joined]] = True
-        blocking[b[~joined]] = np.where(ccc == 0, 255, ccc)[~joined]
+        blocking[b[~joined]] = np.maximum(blocking[b], np.where(ccc == 0, 255, ccc))[~joined]
     return cp[~gone], row[~gone]
 
 

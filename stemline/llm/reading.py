@@ -228,7 +228,9 @@ def reading_levels(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     lists = spark.sparkContext.broadcast((familiar, counted))
     measured = english.join(F.broadcast(rated), "doc_id").select("doc_id", "text", "level").mapInArrow(_measure(lists), "level string, n array<double>, u array<double>")
     docs = [(np.stack([r["n"], r["u"]], 1), LEVELS.index(r["level"])) for r in measured.collect() if r["n"]]
-    w = spark.sparkContext.broadcast(fit(docs) if docs else np.eye(6, 3)[:, [1, 0, 2]])
+    unfitted = np.zeros((6, 3))
+    unfitted[0, 1] = 1.0
+    w = spark.sparkContext.broadcast(fit(docs) if docs else unfitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fam, cnt = lists.value
