@@ -149,7 +149,7 @@ def corrected(readings_: DataFrame, fixes: DataFrame) -> DataFrame:
     """Corrections (``word_id, p``) overrule only where the direct bucket disagrees."""
     j = readings_.join(fixes.select("word_id", F.col("p").alias("__p")), "word_id", "left")
     differs = F.col("__p").isNotNull() & (F.col("__p") != F.col("direct"))
-    return j.withColumn("direct", F.when(differs, F.col("__p")).otherwise(F.col("direct"))).withColumn("corrected", differs).drop("__p")
+    return j.withColumn("corrected", differs).withColumn("direct", F.when(F.col("corrected"), F.col("__p")).otherwise(F.col("direct"))).drop("__p")
 
 
 def inherited_roots(links: DataFrame, roots: DataFrame, rounds: int = 20) -> DataFrame:

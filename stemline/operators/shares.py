@@ -21,11 +21,35 @@ def token_counts(docs: DataFrame, keys: list[str], text_col: str = "text", conne
     return t.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def surface_forms(words: DataFrame, rank_exact: int = 10, rank_case: int = 50) -> DataFrame:
-    """``form, word_id, kind, rank``: the headword itself, and its lower-case form."""
-    exact = words.select(F.col("headword").alias("form"), "word_id", F.lit("exact").alias("kind"), F.lit(rank_exact).alias("rank"))
-    case = words.where(F.col("headword") != F.col("key_lower")).select(F.col("key_lower").alias("form"), "word_id", F.lit("case").alias("kind"), F.lit(rank_case).alias("rank"))
-    return exact.unionByName(case).where(F.col("form").isNotNull())
+#: Rank of each way in which a form reaches a word; the smallest answers.
+RANKS = {"verbatim": 5, "exact": 10, "inflection": 40, "generated": 45, "case": 50, "derivation": 60}
+
+
+def surface_forms(words: DataFrame) -> DataFrame:
+    """``form, word_id, kind, rank``: headwords as spelled (verbatim with capitals, exact without), and the lower-case forms of the former."""
+    w = words.where("headword IS NOT NULL")
+    kind = F.when(F.col("headword") != F.col("key_lower"), F.lit("verbatim")).otherwise(F.lit("exact"))
+    spelled = w.select(F.col("headword").alias("form"), "word_id", kind.alias("kind"))
+    case = w.where(F.col("headword") != F.col("key_lower")).select(F.col("key_lower").alias("form"), "word_id", F.lit("case").alias("kind"))
+    return spelled.unionByName(case).withColumn("rank", _rank(F.col("kind")))
+
+
+def _rank(kind: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), kind)
+
+
+def all_surface_forms(words: DataFrame, inflected: DataFrame) -> DataFrame:
+    """Adds inflected (``form, base``), derived and generated forms: those of words without an answer go to the first stem that has one; forms taken by better kinds stay theirs."""
+    base = surface_forms(words)
+    heads = words.where("status <> 'none' AND key_lower IS NOT NULL").groupBy("key_lower").agg(F.min_by("word_id", F.struct(F.col("headword") != F.col("key_lower"), F.col("word_id"))).alias("word_id"))
+    spelled = words.select(F.col("headword").alias("form")).where("form IS NOT NULL").distinct()
+    i = inflected.join(spelled, "form", "left_anti").join(heads, F.lower("base") == F.col("key_lower")).select("form", "word_id", F.lit("inflection").alias("kind"))
+    lost = words.where("status = 'none' AND headword IS NOT NULL").select(F.lower("headword").alias("w")).distinct()
+    d = first_match(lost, "w", text.stem_candidates(F.col("w")), heads, "key_lower").join(heads, F.col("base") == F.col("key_lower")).select(F.col("word").alias("form"), "word_id", F.lit("derivation").alias("kind"))
+    more = base.unionByName(i.unionByName(d).withColumn("rank", _rank(F.col("kind"))))
+    g = new_forms(words.where("status <> 'none'"), "key_lower", text.regular_forms(F.col("key_lower")), more, "form")
+    g = g.join(heads, F.col("base") == F.col("key_lower")).select("form", "word_id", F.lit("generated").alias("kind"))
+    return more.unionByName(g.withColumn("rank", _rank(F.col("kind")))).dropDuplicates(["form", "word_id", "kind"])
 
 
 def ranked_lookup(typed: DataFrame, form: str, surface: DataFrame, words: DataFrame) -> DataFrame:

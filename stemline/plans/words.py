@@ -142,7 +142,8 @@ def bucket_drilldown(spark, sf):
     return c.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("bucket")))
 
 
-@query("""WITH s AS (SELECT headword AS form, word_id, 'exact' AS kind, 10 AS rank FROM word UNION ALL SELECT key_lower, word_id, 'case', 50 FROM word WHERE headword <> key_lower),
+@query("""WITH s AS (SELECT headword AS form, word_id, CASE WHEN headword <> key_lower THEN 'verbatim' ELSE 'exact' END AS kind, CASE WHEN headword <> key_lower THEN 5 ELSE 10 END AS rank FROM word
+  UNION ALL SELECT key_lower, word_id, 'case', 50 FROM word WHERE headword <> key_lower),
 a AS (SELECT DISTINCT headword AS typed FROM documents WHERE headword IS NOT NULL),
 t AS (SELECT typed, typed AS form FROM a UNION SELECT typed, lower(typed) FROM a),
 r AS (SELECT typed, w.word_id, w.headword, kind, rank, row_number() OVER (PARTITION BY typed ORDER BY rank, w.headword <> w.key_lower, -coalesce(ety_count, -1), w.headword, w.word_id) AS k
@@ -330,3 +331,11 @@ def sentence_of_interest(spark, sf):
 @query("SELECT ety_id, CASE WHEN length(gloss) > 12 THEN substr(gloss, 1, 12) || '...' ELSE gloss END AS short FROM etymology WHERE gloss IS NOT NULL")
 def truncated_gloss(spark, sf):
     return table(spark, sf, "etymology").where("gloss IS NOT NULL").select("ety_id", text.truncated(F.col("gloss"), 12, "...").alias("short"))
+
+
+@query()
+def surface_form_kinds(spark, sf):
+    """How many forms reach a word in each way, inflected forms being those the stored trees' parts would take."""
+    w = table(spark, sf, "word")
+    inflected = w.where("key_lower IS NOT NULL").select(F.concat("key_lower", F.lit("en")).alias("form"), F.col("key_lower").alias("base"))
+    return shares.all_surface_forms(w, inflected).groupBy("kind", "rank").agg(F.count(F.lit(1)).alias("forms"))

@@ -46,7 +46,7 @@ def grouped_entries(entries: DataFrame) -> DataFrame:
     e = e.withColumn("num", F.when(F.col("num") == 0, 1).otherwise(F.col("num")))
     listed = F.transform("etymology_templates", lambda t: F.struct(t["name"].alias("name"), F.to_json(F.array_sort(F.map_entries(t["args"]))).alias("args")))
     e = e.withColumn("sig", F.sha2(F.coalesce(F.to_json(listed), F.lit("")), 256))
-    lists = e.groupBy("word", "num", "sig").agg(F.min(F.struct("line", "etymology_templates")).alias("t"))
+    lists = e.groupBy("word", "num", "sig").agg(F.min("line").alias("line"), F.min_by("etymology_templates", "line").alias("x"))
     templates = _ordered_templates(lists)
     facts = e.groupBy("word", "num").agg(
         F.array_join(F.sort_array(F.collect_set("pos")), ",").alias("pos"),
@@ -58,7 +58,7 @@ def grouped_entries(entries: DataFrame) -> DataFrame:
 def _ordered_templates(lists: DataFrame) -> DataFrame:
     # maps cannot be ordered, so lists are put in order by their line through a window, not by sorting structs
     w = Window.partitionBy("word", "num").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = lists.select("word", "num", F.col("t.line").alias("line"), F.col("t.etymology_templates").alias("x"))
+    t = lists.drop("sig")
     t = t.withColumn("all", F.collect_list(F.coalesce("x", F.array().cast(t.schema["x"].dataType))).over(w)).withColumn("r", F.row_number().over(Window.partitionBy("word", "num").orderBy("line")))
     return t.where("r = 1").select("word", "num", F.flatten("all").alias("templates"))
 
@@ -72,7 +72,12 @@ def senses(entries: DataFrame, most: int = 3) -> DataFrame:
 
 def relations(entries: DataFrame) -> DataFrame:
     """``word, kind, other, lang, sense`` of all lists of other words."""
-    parts = [F.transform(F.coalesce(F.col(f"entry.{f}"), F.array().cast("array<struct<word:string,lang:string,sense:string>>")), lambda r, k=k: F.struct(F.lit(k).alias("kind"), r["word"].alias("other"), r["lang"].alias("lang"), r["sense"].alias("sense"))) for f, k in RELATION_FIELDS.items()]
+
+    def listed(field: str, kind: str):
+        rows = F.coalesce(F.col(f"entry.{field}"), F.array().cast("array<struct<word:string,lang:string,sense:string>>"))
+        return F.transform(rows, lambda r: F.struct(F.lit(kind).alias("kind"), r["word"].alias("other"), r["lang"].alias("lang"), r["sense"].alias("sense")))
+
+    parts = [listed(f, k) for f, k in RELATION_FIELDS.items()]
     r = entries.select("entry.word", F.explode(F.concat(*parts)).alias("r")).where(F.col("r.other") != "")
     return r.select("word", "r.*")
 

@@ -59,7 +59,8 @@ def no_duplicates(key: list[str]) -> Callable[[DataFrame], str | None]:
 
 def references(column: str, other: DataFrame, key: str) -> Callable[[DataFrame], str | None]:
     """Every value of ``column`` exists as ``key`` of the other table."""
-    return lambda df: f"{column} dangles" if df.where(F.col(column).isNotNull()).join(other, F.col(column) == other[key], "left_anti").take(1) else None
+    there = other.select(F.col(key).alias("__there"))
+    return lambda df: f"{column} dangles" if df.where(F.col(column).isNotNull()).join(there, F.col(column) == F.col("__there"), "left_anti").take(1) else None
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
