@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from stemline.session import spread
+
 _OBR, _OBK, _CBR, _CBK, _COL, _COM, _STR, _SCL = range(1, 9)
 _CLASS = np.full(256, _SCL, np.uint8)
 _CLASS[list(b'{[}]:," \t\n\r')] = [*range(1, 7), *[0] * 5]
@@ -329,4 +331,4 @@ def flatten_json_trees(df: DataFrame, id_col: str = "word_id", json_col: str = "
                         yield pa.RecordBatch.from_arrays(columns, names)
                 begin = stop
 
-    return src.mapInArrow(run, schema)
+    return spread(src).mapInArrow(run, schema)

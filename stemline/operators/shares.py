@@ -6,16 +6,17 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from stemline.functions import classify, text
+from stemline.session import spread
 
 
 def token_rows(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """``keys, pos, token`` of every token, in order."""
-    return docs.select(*keys, F.posexplode(text.tokens(F.col(text_col))).alias("pos", "token"))
+    return spread(docs.select(*keys, text_col)).select(*keys, F.posexplode(text.tokens(F.col(text_col))).alias("pos", "token"))
 
 
 def token_counts(docs: DataFrame, keys: list[str], text_col: str = "text", connectors: bool = True) -> DataFrame:
     """``keys, token, n``; combined before the shuffle. ``connectors=False`` takes closed-class words out of all totals."""
-    t = docs.select(*keys, F.explode(text.tokens(F.col(text_col))).alias("token"))
+    t = spread(docs.select(*keys, text_col)).select(*keys, F.explode(text.tokens(F.col(text_col))).alias("token"))
     if not connectors:
         t = t.where(~F.col("token").isin(*text.CONNECTORS))
     return t.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from stemline.functions import classify, text
 from stemline.operators import compare, shares
 from stemline.plans.problems import _P7_SIDE
-from stemline.session import table
+from stemline.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -99,7 +99,7 @@ def coverage_report(spark, sf):
 @query(f"SELECT doc_id, len({TOKENS}) AS tokens, len(list_distinct({TOKENS})) AS distinct_tokens FROM documents WHERE text IS NOT NULL")
 def document_tokens(spark, sf):
     t = text.tokens(F.col("text"))
-    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("distinct_tokens"))
+    return spread(table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("distinct_tokens"))
 
 
 _SAID = ["I'll go", "won’t", "they can't", "isn't it", "we've", "you're", "I'm", "Joe's dog'd", "shan‘t", "ain＇t", "naïven't", "rock'n'roll"]
@@ -239,7 +239,7 @@ def seeded_word_sample(spark, sf):
 
 @query(f"""WITH {_LEX}, {_TOK} SELECT token, count(*) AS n, min(doc_id) AS example FROM tok WHERE token NOT IN (SELECT form FROM lex) AND lang = 'en' GROUP BY token""")
 def unknown_tokens(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
+    d = spread(table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text"))
     t = d.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("example"))
     return t.join(lexicon_known(spark, sf), t["token"] == F.col("form"), "left_anti")
 

@@ -48,3 +48,12 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Enough partitions to hold ``rows`` at ``per_partition`` each, and no fewer than the cluster's cores can use."""
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, rows // 1000))
     return max(1, least, -(-rows // per_partition))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files give fewer tasks than there are cores; larger inputs stay as they are read.
+
+    For steps that spend far more on a row than moving it costs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
