@@ -17,6 +17,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from stemline.llm.bktree import BKTree, distance
+from stemline.session import spread
 
 #: The list is broadcast; it may have at most so many rows.
 MAX_REFERENCE_ROWS = 50_000
@@ -193,4 +194,4 @@ def match_aliases(aliases: DataFrame, languages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["alias_id", "lang_id"])
 
     typed = aliases.where(F.col("lang_id").isNull()).select(F.col("alias_id").cast("long").alias("alias_id"), F.col("alias").cast("string").alias("alias"))
-    return typed.mapInArrow(run, "alias_id long, lang_id int")
+    return spread(typed).mapInArrow(run, "alias_id long, lang_id int")

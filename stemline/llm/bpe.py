@@ -22,6 +22,8 @@ import pyspark.sql.types as T
 import regex
 from pyspark.sql import DataFrame
 
+from stemline.session import spread
+
 DEFAULT = os.environ.get("STEMLINE_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: Fixed: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -207,7 +209,7 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), type=kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), ids], [id_col, "ids"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return spread(df.select(F.col(id_col), F.col(text_col))).mapInArrow(run, schema)
 
 
 def count_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT) -> DataFrame:
@@ -223,4 +225,4 @@ def count_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ends = upto[np.concatenate([[0], np.cumsum(words)])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(np.diff(ends))], [id_col, "n_tokens"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return spread(df.select(F.col(id_col), F.col(text_col))).mapInArrow(run, schema)

@@ -17,6 +17,8 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.functions import arrow_udf
 
+from stemline.session import spread
+
 #: Letters drawn alike in another alphabet, and the Latin letter that stands for them.
 LOOKALIKES = {
     "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ",
@@ -214,7 +216,7 @@ def alike_pairs(df: DataFrame, id_col: str, within: list[str], text_col: str) ->
     Null ids, texts or ``within`` values have no pairs; repeated rows give a pair once.
     """
     keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(within)]
-    base = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), *keys, F.col(text_col).alias("t"))
+    base = spread(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), *keys, F.col(text_col).alias("t")))
     for i in range(len(keys)):
         base = base.where(F.col(f"k{i}").isNotNull())
     base = base.withColumn("form", consistent_form("t")).withColumn("odd", F.when(F.col("form") != F.col("t"), F.col("t")))

@@ -17,7 +17,7 @@ import pyspark.sql.functions as F
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 
-from stemline.session import cut
+from stemline.session import cut, spread
 
 LEVELS = ("basic", "intermediate", "advanced")
 #: A document is plain if its sentences have at most so many words on average.
@@ -220,7 +220,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     everything is intermediate; texts of any length are read whole; repeated rows come out as often as they come in.
     """
     spark = documents.sparkSession
-    english = documents.where((F.col(lang_col) == "en") & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    english = spread(documents.where((F.col(lang_col) == "en") & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     # written once: two looks are taken at the counts, and counting reads the whole corpus
     familiar, counted = word_lists(cut(document_frequencies(english)))
     rated = labels.where(F.col("level").isin(*LEVELS) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("level").alias("level"))
