@@ -132,7 +132,7 @@ def readings(lines: DataFrame, languages: DataFrame) -> DataFrame:
     """``word_id, direct, influence, root, root_name`` of each line."""
     e = lines.select("word_id", F.posexplode("line").alias("i", "s")).select("word_id", "i", "s.lang", "s.term", "s.rel")
     eras = languages.groupBy(F.col("name").alias("lang")).agg(F.min("era_start").alias("era_start"), F.min("era_end").alias("era_end"))
-    e = classify.with_bucket(e, "lang", languages).join(F.broadcast(eras), "lang", "left")
+    e = classify.with_bucket(e, "lang", languages).join(eras, "lang", "left")
     steps = F.transform(F.array_sort(F.collect_list(F.struct("i", "lang", "term", "rel", "bucket", "era_start", "era_end"))), lambda s: s)
     g = e.groupBy("word_id").agg(steps.alias("line"))
     behind = F.slice("line", F.lit(2), F.greatest(F.size("line") - 1, F.lit(0)))

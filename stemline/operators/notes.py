@@ -18,7 +18,7 @@ def note_columns(nodes: DataFrame, prime: DataFrame, lines: DataFrame, languages
     behind = F.slice("line", F.lit(2), F.greatest(F.size("line") - 1, F.lit(0)))
     donor = F.get(F.filter(behind, lambda s: ~classify.is_english_stage(s["lang"]) & (F.coalesce(s["rel"], F.lit("")) != "root")), F.lit(0))["lang"]
     label = languages.where("era_certain = 1 AND era_label IS NOT NULL").groupBy(F.col("name").alias("donor")).agg(F.min("era_label").alias("label"))
-    era = lines.select("word_id", donor.alias("donor")).join(F.broadcast(label), "donor").select("word_id", F.concat(F.lit("English took this from "), "donor", F.lit(", spoken "), "label").alias("era"))
+    era = lines.select("word_id", donor.alias("donor")).join(label, "donor").select("word_id", F.concat(F.lit("English took this from "), "donor", F.lit(", spoken "), "label").alias("era"))
     j = prime.select("word_id").distinct().join(calque, "word_id", "left").join(parts, "word_id", "left").join(era, "word_id", "left")
     if coinages is not None:
         j = j.join(coinages.groupBy("word_id").agg(F.min("text").alias("coinage")), "word_id", "left")
@@ -50,7 +50,7 @@ def root_glosses(terms: DataFrame, term: str, known: DataFrame, key: str, value:
 def diagram(nodes: DataFrame, languages: DataFrame) -> DataFrame:
     """Row by age tier, column by branch, of each node of a tree: ``word_id, tree_no, node_path, row, col``."""
     eras = languages.groupBy(F.col("name").alias("lang")).agg(F.min("era_start").alias("era_start"))
-    n = nodes.join(F.broadcast(eras), "lang", "left")
+    n = nodes.join(eras, "lang", "left")
     tier = F.when(F.col("node_path") == "0", F.lit(-99999)).otherwise(-F.coalesce("era_start", F.lit(0)))
     n = n.withColumn("row", F.dense_rank().over(Window.partitionBy("word_id", "tree_no").orderBy(tier)) - 1)
     return n.select("word_id", "tree_no", "node_path", "row", F.coalesce(F.get(F.split("node_path", r"\."), F.lit(1)).cast("int"), F.lit(0)).alias("col"))

@@ -44,7 +44,7 @@ def records(rows: DataFrame, languages: DataFrame, order: str = "pos") -> DataFr
     """``term_id, term, record``: the chain record of each term; separate groups by the depth of their first language, roots last."""
     e = classify.with_bucket(expanded(rows, order), "lang", languages)
     eras = languages.groupBy(F.col("name").alias("lang")).agg(F.min("era_start").alias("era_start"), F.min("era_end").alias("era_end"))
-    e = e.join(F.broadcast(eras), "lang", "left").withColumn("item", F.element_at(F.split("path", "/"), 1))
+    e = e.join(eras, "lang", "left").withColumn("item", F.element_at(F.split("path", "/"), 1))
     first = F.first("era_start").over(Window.partitionBy("term_id", "item").orderBy("path"))
     e = e.withColumn("depth", F.coalesce(-first, F.lit(99999)))
     step = F.struct("depth", "item", "path", "lang", F.col("related").alias("term"), F.col("kind").alias("rel"), "bucket", "era_start", "era_end")

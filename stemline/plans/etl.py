@@ -33,7 +33,7 @@ def _templates(spark: SparkSession, sf: str) -> DataFrame:
     """Stored main lines written as the templates that a dictionary would state them with: ``word, num, templates, text``."""
     codes = table(spark, sf, "languages").groupBy(F.col("name").alias("lang")).agg(F.min("wikt_code").alias("code"))
     s = lineage.spines(stored_nodes(spark, sf)).select("word_id", "tree_no", F.explode("spine").alias("s")).select("word_id", "tree_no", "s.*").where("pos > 0")
-    s = s.join(F.broadcast(codes), "lang", "left")
+    s = s.join(codes, "lang", "left")
     names = {"inherited": "inh", "borrowed": "bor", "derived": "der", "calque": "cal", "root": "root", "formed_from": "af"}
     name = F.coalesce(classify.lookup(names, F.col("rel")), F.lit("der"))
     args = F.map_from_arrays(F.array(*[F.lit(k) for k in "123"]), F.array(F.lit("en"), F.coalesce("code", "lang"), F.coalesce("term", F.lit("-"))))

@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from stemline.functions import classify, text
-from stemline.operators import compare, shares
+from stemline.operators import cascade, compare, shares
 from stemline.plans.problems import _P7_SIDE
 from stemline.session import spread, table
 
@@ -339,3 +339,14 @@ def surface_form_kinds(spark, sf):
     w = table(spark, sf, "word")
     inflected = w.where("key_lower IS NOT NULL").select(F.concat("key_lower", F.lit("en")).alias("form"), F.col("key_lower").alias("base"))
     return shares.all_surface_forms(w, inflected).groupBy("kind", "rank").agg(F.count(F.lit(1)).alias("forms"))
+
+
+@query()
+def token_cascade(spark, sf):
+    """How each token of the corpus is answered for: by itself, by a stem of it, by the words it is split into, or not at all."""
+    vocabulary = shares.token_counts(table(spark, sf, "documents"), [])
+    latest = compare.latest(table(spark, sf, "compare_new"), compare.trimmed(F.col("word")), {"bucket": compare.trimmed(F.col("bucket")), "resolved": F.col("resolved")}, F.col("checked_at"))
+    records = latest.select(F.lower("key").alias("form"), (F.col("bucket").isNotNull() & F.coalesce("resolved", F.lit(False))).alias("trusted"), F.col("bucket").isNotNull().alias("usable"))
+    pieces = table(spark, sf, "word").where("key_lower LIKE '%-%'").select(F.col("key_lower").alias("word"), F.posexplode(F.split("key_lower", "-")).alias("place", "part"))
+    answers = cascade.answered(vocabulary, "token", records, text.stem_candidates(F.col("word")), cascade.flattened_splits(pieces))
+    return vocabulary.join(answers, F.col("token") == F.col("word")).groupBy("via").agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("occurrences"))

@@ -55,5 +55,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     For steps that spend far more on a row than moving it costs.
     """
+    if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df  # it has a shuffle already, which to ask for its tasks would run
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
