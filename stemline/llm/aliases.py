@@ -94,7 +94,7 @@ class Matcher:
         if text not in self.memo:
             if len(self.memo) > _KEEP:
                 self.memo.clear()
-            self.memo[text] = self._match(text[:2000] if len(text) > 2000 else text)
+            self.memo[text] = self._match(text)
         return self.memo[text]
 
     def _match(self, text: str) -> int:

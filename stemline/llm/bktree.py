@@ -41,10 +41,12 @@ class BKTree:
 
     def __init__(self, entries: Iterable[str]):
         self.root: tuple[str, dict] | None = None
+        self.longest = 0
         for e in dict.fromkeys(entries):
             self.add(e)
 
     def add(self, entry: str) -> None:
+        self.longest = max(self.longest, len(entry))
         if self.root is None:
             self.root = (entry, {})
             return
@@ -61,6 +63,8 @@ class BKTree:
 
     def within(self, query: str, most: int) -> list[tuple[int, str]]:
         """Every entry at a distance of at most ``most``, nearest first, ties in alphabetical order."""
+        if len(query) - self.longest > most:
+            return []  # every edit changes the length by one at most
         out, stack = [], [self.root] if self.root else []
         while stack:
             entry, below = stack.pop()
