@@ -115,3 +115,16 @@ def shades(languages: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
     step = F.when(n > 1, (F.row_number().over(w) - 1) / (n - 1)).otherwise(F.lit(0.5))
     return languages.where(F.col("bucket").isNotNull()).select("bucket", "name", F.round(35 + 40 * step, 4).alias("lightness"))
+
+
+def code_bucket(df: DataFrame, code: str, languages: DataFrame, default: str = "Unknown", out: str = "bucket") -> DataFrame:
+    """The group of a code; codes that are not listed are ``default``."""
+    known = languages.where("wikt_code IS NOT NULL").groupBy(F.col("wikt_code").alias("__c")).agg(F.min("bucket").alias("__b"))
+    return df.join(known, df[code] == F.col("__c"), "left").withColumn(out, F.coalesce("__b", F.lit(default))).drop("__c", "__b")
+
+
+def with_unlisted(languages: DataFrame, used: DataFrame, name: str) -> DataFrame:
+    """The list and, flagged as uncertain, every used name that it lacks, so that nothing is dropped for want of a row."""
+    more = used.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct().join(languages.select("name"), "name", "left_anti")
+    more = more.select("name", F.lit("Other").alias("bucket"), F.lit(0).alias("era_certain"), F.startswith("name", F.lit("Proto-")).cast("int").alias("is_proto"))
+    return languages.select("name", "bucket", "era_certain", "is_proto").unionByName(more)

@@ -243,3 +243,20 @@ def covered_form(words: DataFrame, word: str, nodes: DataFrame, lang: str = "Eng
     low = there.select(F.col("f").alias("low"))
     j = w.join(exact, w["word"] == F.col("exact"), "left").join(low, F.lower("word") == F.col("low"), "left")
     return j.select("word", F.coalesce("exact", "low").alias("form"))
+
+
+def family(nodes: DataFrame, trees: DataFrame, lang: str, term: str, budget: int = BUDGET) -> DataFrame:
+    """The whole recorded family of a form, from the topmost tree down: the largest tree that holds it, climbed from, spliced, cut to the budget and marked.
+
+    ``path, lang, term, depth, rank, shown, match, on_path, spliced``; no rows where nothing holds the form. Paths are in sibling order.
+    """
+    held = trees_containing(nodes.where((F.col("lang") == lang) & (F.col("term") == term)), trees, 1).select("tree_id")
+    start = trees.join(held, "tree_id", "left_semi").select("lang", "term")
+    top = climb(nodes, trees).join(start, ["lang", "term"], "left_semi").select(F.col("top_id").alias("top"))
+    body = cut(splice(nodes, trees).join(top, "top", "left_semi"))
+    order = Window.partitionBy("top").orderBy("depth", "path")
+    body = body.withColumn("rank", F.row_number().over(order)).withColumn("match", F.coalesce((F.col("lang") == lang) & (F.col("term") == term), F.lit(False)))
+    steps = F.split("path", "/")
+    above = body.where("match").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))).alias("path")).distinct().withColumn("on_path", F.lit(True))
+    out = body.join(above, "path", "left").withColumn("on_path", F.coalesce("on_path", F.lit(False)))
+    return out.select("path", "lang", "term", "depth", "rank", (F.col("rank") <= budget).alias("shown"), "match", "on_path", "spliced")

@@ -168,3 +168,18 @@ def inherited_roots(links: DataFrame, roots: DataFrame, rounds: int = 20) -> Dat
             break
         done = cut(done.unionByName(fresh))
     return done
+
+
+def stubs(nodes: DataFrame) -> DataFrame:
+    """``word_id, tree_no, stub``: nothing below the head but childless roots and affixes (or nothing at all)."""
+    inner = nodes.where("parent_path <> ''").select("word_id", "tree_no", F.col("parent_path").alias("node_path")).distinct().withColumn("inner", F.lit(True))
+    n = nodes.join(inner, ["word_id", "tree_no", "node_path"], "left")
+    yes = lambda c: F.coalesce(F.col(c).isin("true", "1"), F.lit(False))
+    thin = F.col("inner").isNull() & (yes("is_root") | yes("is_affix") | is_affix(F.col("term")))
+    return n.groupBy("word_id", "tree_no").agg(F.bool_and((F.col("parent_path") == "") | thin).alias("stub"))
+
+
+def strays(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``word_id, lang``: languages of a word's line that no tree of any word on the line shows; none are expected."""
+    told = lines.select("word_id", F.explode(F.array_distinct(F.transform("line", lambda s: s["lang"]))).alias("lang")).where("lang IS NOT NULL")
+    return told.join(nodes.select("lang").distinct(), "lang", "left_anti").select("word_id", "lang")

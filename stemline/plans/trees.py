@@ -181,3 +181,24 @@ def english_words_by_root(spark, sf):
     t = table(spark, sf, "descendant_tree").select("tree_id", "lang", "term")
     d = n.join(t, "tree_id").select("lang", "term", "w").distinct()
     return d.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("words"), F.array_join(F.sort_array(F.collect_list("w")), "|").alias("list"))
+
+
+@query()
+def stub_trees(spark, sf):
+    return lineage.stubs(nodes(spark, sf))
+
+
+@query()
+def line_strays(spark, sf):
+    """How many languages of lines no stored tree shows: none are expected."""
+    n = cut(nodes(spark, sf))
+    prime = lineage.primary(lineage.spines(n))
+    return lineage.strays(prime.select("word_id", F.col("spine").alias("line")), n).agg(F.count(F.lit(1)).alias("strays"))
+
+
+@query()
+def family_of_commonest_word(spark, sf):
+    """The family of the English form that most trees hold."""
+    n = table(spark, sf, "descendant_node")
+    best = n.where("lang = 'English' AND term IS NOT NULL").groupBy("term").agg(F.countDistinct("tree_id").alias("k")).orderBy(F.col("k").desc(), "term").first()
+    return forest.family(n, table(spark, sf, "descendant_tree"), "English", best["term"] if best else "")

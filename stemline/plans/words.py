@@ -350,3 +350,19 @@ def token_cascade(spark, sf):
     pieces = table(spark, sf, "word").where("key_lower LIKE '%-%'").select(F.col("key_lower").alias("word"), F.posexplode(F.split("key_lower", "-")).alias("place", "part"))
     answers = cascade.answered(vocabulary, "token", records, text.stem_candidates(F.col("word")), cascade.flattened_splits(pieces))
     return vocabulary.join(answers, F.col("token") == F.col("word")).groupBy("via").agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("occurrences"))
+
+
+@query("""SELECT lang_code, coalesce(b, 'Unknown') AS bucket, count(*) AS nodes FROM descendant_node LEFT JOIN (SELECT wikt_code, min(bucket) AS b FROM languages WHERE wikt_code IS NOT NULL GROUP BY 1) l ON wikt_code = lang_code GROUP BY ALL""")
+def bucket_by_code(spark, sf):
+    n = table(spark, sf, "descendant_node").groupBy("lang_code").agg(F.count(F.lit(1)).alias("nodes"))
+    return classify.code_bucket(n, "lang_code", table(spark, sf, "languages")).select("lang_code", "bucket", "nodes")
+
+
+@query("""SELECT name, bucket, era_certain, is_proto FROM languages UNION ALL SELECT DISTINCT root, 'Other', 0, CAST(root LIKE 'Proto-%' AS INT) FROM compare_new WHERE root IS NOT NULL AND root NOT IN (SELECT name FROM languages)""")
+def languages_with_unlisted(spark, sf):
+    return classify.with_unlisted(table(spark, sf, "languages"), table(spark, sf, "compare_new"), "root")
+
+
+@query("""SELECT lower(trim(kind)) AS kind, count(*) AS sources, sum(coalesce(additive_only, 0)) AS additive FROM sources GROUP BY 1""")
+def sources_by_kind(spark, sf):
+    return table(spark, sf, "sources").groupBy(F.lower(F.trim("kind")).alias("kind")).agg(F.count(F.lit(1)).alias("sources"), F.sum(F.coalesce("additive_only", F.lit(0))).alias("additive"))

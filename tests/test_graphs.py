@@ -183,3 +183,20 @@ def test_all_surface_forms(spark):
     got = {(r.form, r.kind): r.word_id for r in shares.all_surface_forms(words, inflected).collect()}
     assert got["wolves", "inflection"] == 1 and ("wolf", "inflection") not in got and got["professional", "derivation"] == 2
     assert got["ryans", "generated"] == 4 and got["Ryan", "verbatim"] == 4 and got["ryan", "case"] == 4
+
+
+def test_family(spark):
+    n, t = forests(spark)
+    got = forest.family(n, t, "English", "brother", budget=4).collect()
+    assert len(got) == 9 and sum(r.shown for r in got) == 4 and sum(r.match for r in got) == 2
+    assert {r.term for r in got if r.on_path} == {"b", "broþor", "broþer", "brother"} and {r.term for r in got if r.spliced} == {"b"}
+    assert forest.family(n, t, "English", "nothing").count() == 0
+
+
+def test_stubs_and_strays(spark):
+    n = stored(spark)
+    extra = spark.createDataFrame([(8, 1, "0", "", "English", "s", "head", None, None, None), (8, 1, "0.0", "0", "PIE", "r", "root", "related", "true", None)], NODE)
+    got = {r.word_id: r.stub for r in lineage.stubs(n.unionByName(extra)).collect() if r.tree_no == 1}
+    assert got[8] and got[5] and not got[1] and not got[3]
+    lines = lineage.primary(lineage.spines(n)).select("word_id", F.col("spine").alias("line"))
+    assert lineage.strays(lines, n).count() == 0 and lineage.strays(lines, n.where("lang <> 'Greek'")).collect()[0].lang == "Greek"
