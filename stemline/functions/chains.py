@@ -6,7 +6,7 @@ A step is ``struct<lang, term, rel, bucket, era_start, era_end>``, nearest ances
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 
 from stemline.functions.classify import CORE, DONOR_RELS, NATIVE_RELS, UNINFORMATIVE, is_english_stage
 
@@ -71,18 +71,37 @@ def distinct_buckets(steps: Column) -> Column:
     return F.concat(F.filter(firsts, lambda s: s["bucket"] != "PIE"), F.filter(firsts, lambda s: s["bucket"] == "PIE"))
 
 
+def _leads(foreign: Column, stages: Column) -> Column:
+    return (F.size(stages) > 0) & ((F.size(foreign) == 0) | (F.get(foreign, F.lit(0))["rel"] == "inherited"))
+
+
+def joined(foreign: Column, roots: Column, stages: Column) -> Column:
+    """Donor steps and root citations behind one another, Germanic first where English stages lead."""
+    germanic = F.transform(F.slice(stages, F.lit(1), F.lit(1)), lambda s: s.withField("bucket", F.lit("Germanic")))
+    empty = (F.size(foreign) == 0) & (F.size(roots) == 0)
+    return F.concat(F.when(_leads(foreign, stages) & ~empty, germanic).otherwise(F.slice(foreign, F.lit(1), F.lit(0))), foreign, roots)
+
+
+def with_record(df: DataFrame, foreign: str, roots: str, stages: str, out: str = "record") -> DataFrame:
+    """Adds ``assembled(...)`` as a column; steps and chain are columns of their own first, so each is evaluated once."""
+    f, r, s = F.col(foreign), F.col(roots), F.col(stages)
+    df = df.withColumn("__steps", joined(f, r, s)).withColumn("__chain", distinct_buckets(F.col("__steps")))
+    return df.withColumn(out, _record(F.col("__chain"), f, r, s)).drop("__steps", "__chain")
+
+
 def assembled(foreign: Column, roots: Column, stages: Column) -> Column:
     """The chain record of a word: ``p, d, chain, prox_kind, root_lang, root_pie, root_term, native``.
 
     ``foreign`` are donor steps, ``roots`` bare citations, ``stages`` the English stages in between.  An inherited or
     missing donor after English stages puts Germanic first; without any evidence the record is null.
     """
+    return _record(distinct_buckets(joined(foreign, roots, stages)), foreign, roots, stages)
+
+
+def _record(chain: Column, foreign: Column, roots: Column, stages: Column) -> Column:
     native = F.size(stages) > 0
-    lead = native & ((F.size(foreign) == 0) | (F.get(foreign, F.lit(0))["rel"] == "inherited"))
-    germanic = F.transform(F.slice(stages, F.lit(1), F.lit(1)), lambda s: s.withField("bucket", F.lit("Germanic")))
-    none = F.slice(foreign, F.lit(1), F.lit(0))
+    lead = _leads(foreign, stages)
     empty = (F.size(foreign) == 0) & (F.size(roots) == 0)
-    chain = distinct_buckets(F.concat(F.when(lead & ~empty, germanic).otherwise(none), foreign, roots))
     last = F.try_element_at(chain, F.lit(-1))
     before = F.try_element_at(chain, F.lit(-2))
     through = (last["bucket"] == "PIE") & (F.size(chain) >= 2)

@@ -138,9 +138,10 @@ def readings(lines: DataFrame, languages: DataFrame) -> DataFrame:
     behind = F.slice("line", F.lit(2), F.greatest(F.size("line") - 1, F.lit(0)))
     g = g.withColumn("rest", behind)
     g = g.withColumn("stages", F.filter("rest", lambda s: classify.is_english_stage(s["lang"])))
-    g = g.withColumn("foreign", chains.donor_steps(F.filter("rest", lambda s: ~classify.is_english_stage(s["lang"]) & F.coalesce(s["rel"] != "root", F.lit(True)))))
+    g = g.withColumn("abroad", F.filter("rest", lambda s: ~classify.is_english_stage(s["lang"]) & F.coalesce(s["rel"] != "root", F.lit(True))))
+    g = g.withColumn("foreign", chains.donor_steps(F.col("abroad")))
     g = g.withColumn("roots", F.filter("rest", lambda s: F.coalesce(s["rel"] == "root", F.lit(False))))
-    g = g.withColumn("record", chains.assembled(F.col("foreign"), F.col("roots"), F.col("stages")))
+    g = chains.with_record(g, "foreign", "roots", "stages")
     r = F.col("record")
     return g.select("word_id", *[chains.view(r, m).alias(m) for m in chains.MODES], chains.root_name(r).alias("root_name"), chains.usable(r).alias("usable"))
 

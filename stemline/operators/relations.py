@@ -52,7 +52,7 @@ def records(rows: DataFrame, languages: DataFrame, order: str = "pos") -> DataFr
     english = lambda s: classify.is_english_stage(s["lang"])
     g = g.withColumn("stages", F.filter("line", lambda s: english(s) & (s["rel"] != "root")))
     g = g.withColumn("foreign", F.filter("line", lambda s: ~english(s) & (s["rel"] != "root"))).withColumn("roots", F.filter("line", lambda s: s["rel"] == "root"))
-    return g.select("term_id", "term", chains.assembled(F.col("foreign"), F.col("roots"), F.col("stages")).alias("record"))
+    return chains.with_record(g, "foreign", "roots", "stages").select("term_id", "term", "record")
 
 
 def patched_stubs(records_: DataFrame, pointers: DataFrame, hubs: tuple[str, ...] = (), rounds: int = 20) -> DataFrame:
