@@ -10,6 +10,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from stemline.session import cut
+
 
 def value_frequencies(df: DataFrame, key: str, value: str) -> DataFrame:
     """``k, v, w``: how often each value (null included) occurs with each key (null included)."""
@@ -30,12 +32,11 @@ def key_stats(df: DataFrame, key: str, value: str, percentiles: dict[str, float]
     has nulls and 0 distinct; ties of the mode go to the smallest value; an empty table gives no rows.
     """
     percentiles = percentiles or {}
-    f = value_frequencies(df, key, value)
+    f = cut(value_frequencies(df, key, value))  # the rows are read once; all that follows reads the counts
     best = F.struct(F.col("w").alias("w"), (-F.col("v")).alias("low"))
-    f = f.withColumn("band", _band(F.col("v")))
     there = F.col("v").isNotNull()
     # (key, band) rows: sums of sums, so a key's distinct values are never together in one task
-    bands = f.groupBy("k", "band").agg(
+    bands = f.groupBy("k", _band(F.col("v")).alias("band")).agg(
         F.sum("w").alias("w"),
         F.sum(F.when(there, F.col("w"))).alias("nv"),
         F.sum(F.col("v").cast("decimal(19,0)") * F.col("w") if dict(df.dtypes)[value] in ("int", "bigint", "smallint", "tinyint") else F.col("v") * F.col("w")).alias("s"),
@@ -61,18 +62,22 @@ def key_stats(df: DataFrame, key: str, value: str, percentiles: dict[str, float]
         "distinct_values",
         (-F.col("m.low")).cast(dict(df.dtypes)[value]).alias("mode"),
     )
-    for name, share in percentiles.items():
-        out = out.join(_percentile(f, bands, share).withColumnRenamed("p", name).withColumnRenamed("k", "__k"), F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
-    return out
+    if not percentiles:
+        return out
+    p = _percentiles(f, bands, percentiles)
+    return out.join(p, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
 
 
-def _percentile(f: DataFrame, bands: DataFrame, share: float) -> DataFrame:
-    per_key = Window.partitionBy("k").orderBy("band")
+def _percentiles(f: DataFrame, bands: DataFrame, percentiles: dict[str, float]) -> DataFrame:
+    """``__k`` and a column a percentile: the bands that hold the ranks, then the order of the values in those bands only."""
     b = bands.where(F.col("band").isNotNull()).select("k", "band", "nv")
-    b = b.withColumn("below", F.sum("nv").over(per_key) - F.col("nv")).withColumn("all", F.sum("nv").over(Window.partitionBy("k")))
-    b = b.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("all") * F.lit(share))).cast("long"))
-    hit = b.where((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("nv"))).select(F.col("k").alias("k2"), F.col("band").alias("band2"), (F.col("rank") - F.col("below")).alias("rank"))
-    within = f.where(F.col("v").isNotNull()).join(hit, F.col("k").eqNullSafe(F.col("k2")) & (F.col("band") == F.col("band2")))
-    order = Window.partitionBy("k").orderBy("v")
-    within = within.withColumn("upto", F.sum("w").over(order))
-    return within.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("w") < F.col("rank"))).select("k", F.col("v").alias("p"))
+    b = b.withColumn("below", F.sum("nv").over(Window.partitionBy("k").orderBy("band")) - F.col("nv")).withColumn("all", F.sum("nv").over(Window.partitionBy("k")))
+    ranks = F.array(*[F.struct(F.lit(n).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("all") * F.lit(share))).cast("long").alias("rank")) for n, share in percentiles.items()])
+    held = F.filter(ranks, lambda r: (F.col("below") < r["rank"]) & (r["rank"] <= F.col("below") + F.col("nv")))
+    hit = b.select(F.col("k").alias("k2"), F.col("band").alias("band2"), "below", held.alias("ranks")).where(F.size("ranks") > 0)
+    within = f.where(F.col("v").isNotNull()).select("k", "v", "w", _band(F.col("v")).alias("band"))
+    within = within.join(hit, F.col("k").eqNullSafe(F.col("k2")) & (F.col("band") == F.col("band2")))
+    upto = F.sum("w").over(Window.partitionBy("k", "band").orderBy("v")) + F.col("below")
+    named = within.withColumn("upto", upto).select("k", "v", "w", "upto", F.explode("ranks").alias("r"))
+    named = named.where((F.col("upto") >= F.col("r.rank")) & (F.col("upto") - F.col("w") < F.col("r.rank")))
+    return named.groupBy(F.col("k").alias("__k")).agg(*[F.max(F.when(F.col("r.name") == n, F.col("v"))).alias(n) for n in percentiles])
