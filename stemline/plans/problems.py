@@ -126,3 +126,29 @@ UNION ALL SELECT word, 'root' FROM j WHERE NOT no_old AND NOT no_new AND a.t IS
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_trees, p3_term_stats, p5_found, p5_paths, p5_descendant_counts, p7_found)}
 SQL = {"p3_term_stats": P3_SQL, "p5_found": P5_SQL, "p5_paths": P5_PATHS_SQL, "p5_descendant_counts": P5_COUNTS_SQL, "p7_found": P7_SQL}
+
+_KIDS = "CASE WHEN json_exists(n, '$.children') THEN n->'$.children' ELSE n->'$.branches' END"
+P1_SQL = f"""
+WITH RECURSIVE u AS (
+  SELECT word_id, CAST(tree_json AS VARCHAR) AS j FROM word WHERE json_valid(tree_json)
+  UNION ALL SELECT word_id, json_extract_string(j, '$') FROM u WHERE json_type(j) = 'VARCHAR' AND json_valid(json_extract_string(j, '$'))),
+t AS (
+  SELECT word_id, 1 AS tree_no, CAST(j AS JSON) AS j FROM u WHERE json_type(j) = 'OBJECT'
+  UNION ALL SELECT word_id, generate_subscripts(l, 1), unnest(l) FROM (SELECT word_id, json_extract(j, '$[*]') AS l FROM u WHERE json_type(j) = 'ARRAY')),
+h AS (SELECT word_id, tree_no, CASE WHEN json_exists(j, '$.head') THEN j->'$.head' ELSE j END AS n FROM t WHERE json_type(j) = 'OBJECT' AND json_keys(j) <> []),
+w AS (
+  SELECT word_id, tree_no, n, '0' AS node_path, '' AS parent_path FROM h WHERE json_type(n) = 'OBJECT'
+  UNION ALL
+  SELECT word_id, tree_no, c, node_path || '.' || i, node_path FROM (
+    SELECT word_id, tree_no, node_path, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS i FROM (
+      SELECT word_id, tree_no, node_path, CASE json_type({_KIDS}) WHEN 'ARRAY' THEN json_extract({_KIDS}, '$[*]') WHEN 'OBJECT' THEN [{_KIDS}] ELSE [] END AS l FROM w))
+  WHERE json_type(c) = 'OBJECT')
+SELECT word_id, CAST(tree_no AS BIGINT) AS tree_no, node_path, parent_path FROM w
+"""
+SQL["p1_found"] = P1_SQL
+_NODES = P1_SQL.split("SELECT word_id, CAST(tree_no")[0]
+_TEXT = ", ".join(f"n->>'$.{f}' AS {f}" for f in ("lang", "term", "certainty", "is_root", "is_affix"))
+NODES_CTE = _NODES + f", x AS (SELECT word_id, CAST(tree_no AS BIGINT) AS tree_no, node_path, parent_path, coalesce(n->>'$.rel', n->>'$.reltype') AS rel, {_TEXT} FROM w)"
+SQL["p1_nodes"] = NODES_CTE + " SELECT * FROM x"
+SQL["p1_trees"] = NODES_CTE + """ SELECT word_id, tree_no, count(*) AS nodes, max(len(string_split(node_path, '.'))) AS levels,
+  max(lang) FILTER (WHERE parent_path = '') AS head_lang, max(term) FILTER (WHERE parent_path = '') AS head_term FROM x GROUP BY word_id, tree_no"""

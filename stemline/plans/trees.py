@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from stemline.operators import forest, lineage, nested, shares
-from stemline.plans.problems import NODE_FIELDS, P5_PATHS_SQL
+from stemline.plans.problems import NODE_FIELDS, NODES_CTE, P5_PATHS_SQL
 from stemline.session import cut, table
 
 QUERIES: dict = {}
@@ -56,14 +56,15 @@ def word_readings(spark, sf):
     return lineage.readings(lineage.lineages(prime, lineage.components(n, prime, forms)), table(spark, sf, "languages"))
 
 
-@query()
+@query(NODES_CTE + """ SELECT term, CAST(sum(CAST(coalesce(is_affix IN ('true', '1'), false) AS INT)) AS BIGINT) AS flagged, count(*) AS seen FROM x WHERE term IS NOT NULL GROUP BY term
+HAVING count(*) >= 5 AND sum(CAST(coalesce(is_affix IN ('true', '1'), false) AS INT)) >= 0.95 * count(*)""")
 def tree_affix_consensus(spark, sf):
     """Terms that are flagged as affixes nearly everywhere in the stored trees."""
     n = nodes(spark, sf)
     return shares.consensus(n, "term", F.coalesce(F.col("is_affix").isin("true", "1"), F.lit(False)))
 
 
-@query()
+@query(NODES_CTE + " SELECT word_id, tree_no, count(*) AS nodes, coalesce(array_to_string(list_sort(list_distinct(list(lang))), '|'), '') AS languages, count(DISTINCT term) AS terms FROM x GROUP BY ALL")
 def tree_languages(spark, sf):
     """Languages and terms of each stored tree."""
     n = nodes(spark, sf)
@@ -183,7 +184,9 @@ def english_words_by_root(spark, sf):
     return d.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("words"), F.array_join(F.sort_array(F.collect_list("w")), "|").alias("list"))
 
 
-@query()
+@query(NODES_CTE + """, i AS (SELECT DISTINCT word_id, tree_no, parent_path AS node_path, true AS inner FROM x WHERE parent_path <> '')
+SELECT word_id, tree_no, bool_and(parent_path = '' OR (i.inner IS NULL AND (coalesce(is_root IN ('true', '1'), false) OR coalesce(is_affix IN ('true', '1'), false)
+  OR coalesce(length(trim(term)) > 1 AND (trim(term) LIKE '-%' OR trim(term) LIKE '%-'), false)))) AS stub FROM x LEFT JOIN i USING (word_id, tree_no, node_path) GROUP BY ALL""".replace("inner", "has_kids"))
 def stub_trees(spark, sf):
     return lineage.stubs(nodes(spark, sf))
 
