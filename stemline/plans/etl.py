@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stemline.functions import classify, text
 from stemline.operators import forest, lineage, nested, notes, relations, shapes, shares
 from stemline.operators.hierarchy import hierarchy
+from stemline.plans.problems import NODES_CTE
 from stemline.plans.trees import nodes as stored_nodes
 from stemline.plans.words import lexicon_known
 from stemline.session import cut, shared_dir, table
@@ -102,7 +103,9 @@ def lower_then_typed_lookup(spark, sf):
     return notes.lower_then_typed(table(spark, sf, "documents"), "headword", table(spark, sf, "word").where("headword IS NOT NULL"), "headword", "word_id")
 
 
-@query()
+@query(NODES_CTE + """, e AS (SELECT name AS lang, min(era_start) AS era_start FROM languages GROUP BY 1)
+SELECT word_id, tree_no, node_path, dense_rank() OVER (PARTITION BY word_id, tree_no ORDER BY CASE WHEN node_path = '0' THEN -99999 ELSE -coalesce(era_start, 0) END) - 1 AS row,
+  coalesce(CAST(string_split(node_path, '.')[2] AS INT), 0) AS col FROM x LEFT JOIN e USING (lang)""")
 def diagram_layout(spark, sf):
     return notes.diagram(stored_nodes(spark, sf), table(spark, sf, "languages"))
 
@@ -131,7 +134,8 @@ def definition_fallback(spark, sf):
     return notes.with_definition(asked, "word", known, w.where("headword IS NOT NULL AND key_lower IS NOT NULL").select(plural.alias("form"), F.col("headword").alias("base")))
 
 
-@query()
+@query("""SELECT lang, raw_term, 'https://dictionary.example/wiki/' || replace(url_encode(replace(CASE WHEN raw_term LIKE '*%' THEN 'Reconstruction:' || coalesce(lang, 'Undetermined') || '/' || trim(regexp_replace(trim(raw_term), '^\\*+', '')) ELSE raw_term END, ' ', '_')), '%2F', '/') AS url
+FROM (SELECT DISTINCT lang, raw_term FROM descendant_node WHERE raw_term IS NOT NULL)""")
 def form_pages(spark, sf):
     """Page address of every stored form."""
     n = table(spark, sf, "descendant_node").where("raw_term IS NOT NULL").select("lang", "raw_term").distinct()

@@ -244,7 +244,9 @@ def unknown_tokens(spark, sf):
     return t.join(lexicon_known(spark, sf), t["token"] == F.col("form"), "left_anti")
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+|[.!?]') AS t FROM documents),
+w AS (SELECT doc_id, unnest(t) AS w, unnest(list_concat(['.'], t[:-2])) AS p FROM t WHERE len(t) > 0)
+SELECT lower(w) AS word, count(DISTINCT doc_id) AS documents FROM w WHERE regexp_matches(w, '^[A-Z]') AND p NOT IN ('.', '!', '?') GROUP BY 1""")
 def mid_sentence_names(spark, sf):
     """Words that begin with a capital inside a sentence, and in how many documents."""
     w = table(spark, sf, "documents").select("doc_id", F.explode(text.mid_sentence_capitals(F.col("text"))).alias("word"))
