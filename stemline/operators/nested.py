@@ -220,7 +220,8 @@ class _Index:
         out = pc.if_else(pa.array(null), pa.scalar(None, pa.large_string()), out)
         odd = np.flatnonzero(slashed.astype(bool) & is_string)
         if len(odd):
-            fixed = [json.loads(self.text(tokens[i])).encode("utf-8", "replace").decode() for i in odd]
+            fixed = json.loads(b"[" + b",".join(self.text(tokens[i]) for i in odd) + b"]")  # all of them in one call
+            fixed = "\0".join(fixed).encode("utf-8", "replace").decode().split("\0") if not any("\0" in x for x in fixed) else [x.encode("utf-8", "replace").decode() for x in fixed]
             mask = np.zeros(len(tokens), bool)
             mask[odd] = True
             out = pc.replace_with_mask(out, pa.array(mask), pa.array(fixed, pa.large_string()))
@@ -277,12 +278,13 @@ def _flatten(data: np.ndarray, offsets: np.ndarray, source: np.ndarray, fields:
     by_parent = np.argsort(parent, kind="stable")
     objects, parent, place = objects[by_parent], parent[by_parent], place[by_parent]
     first = np.searchsorted(parent, np.arange(len(x.kind) + 1))
+    told = {f: x.named(f) for f in fields}
     token, number, path = root, tree_no, pa.array(["0"] * len(root), pa.large_string())
     up = pa.array([""] * len(root), pa.large_string())
     while len(token):
         out = {"row": source[x.row[token]], "tree_no": number, "node_path": path, "parent_path": up}
         for f in fields:
-            out[f] = x.strings(x.named(f)[token])
+            out[f] = x.strings(told[f][token])
         yield out
         count = first[token + 1] - first[token]
         of = np.repeat(np.arange(len(token)), count)
