@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(name: str = "stemline", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark."""
-    return (
+    return importable(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -23,7 +23,17 @@ def local_session(name: str = "stemline", cores: str = "*", partitions: int = 8)
     )
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where the driver was started from another folder; a cluster needs it on a shared path or as a Python file."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    there = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in there:
+        env["PYTHONPATH"] = os.pathsep.join([*there, root])
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
