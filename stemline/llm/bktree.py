@@ -95,7 +95,8 @@ def nearest(queries: DataFrame, query: str, reference: DataFrame, entry: str, mo
                 found = [next(iter(tree.within(t, most)), (None, None)) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found], pa.int32())], ["q", "e", "d"])
 
-        best = q.mapInArrow(whole, schema)
+        # a query costs far more than its bytes tell, so tasks are counted by cores
+        best = q.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(whole, schema)
     else:
         shards = -(-rows // SHARD_ROWS)
         mine = r.withColumn("shard", F.pmod(F.xxhash64("e"), F.lit(shards)))
