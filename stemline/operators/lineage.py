@@ -180,7 +180,34 @@ def stubs(nodes: DataFrame) -> DataFrame:
     return n.groupBy("word_id", "tree_no").agg(F.bool_and((F.col("parent_path") == "") | thin).alias("stub"))
 
 
-def strays(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``word_id, lang``: languages of a word's line that no tree of any word on the line shows; none are expected."""
-    told = lines.select("word_id", F.explode(F.array_distinct(F.transform("line", lambda s: s["lang"]))).alias("lang")).where("lang IS NOT NULL")
-    return told.join(nodes.select("lang").distinct(), "lang", "left_anti").select("word_id", "lang")
+def drawn(nodes: DataFrame, prime: DataFrame, lookup: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``word_id, lang``: the languages that the drawn tree of each word shows. ``lookup``: ``form, word_id``.
+
+    Drawn are all trees of the word and, below each component without a donor of its own, what the primary tree of the
+    component's word holds below its head, up to ``depth`` components behind one another. A component spelled as the head
+    or as a component above it (whatever the case) is not opened again.
+    """
+    tree = ["word_id", "tree_no"]
+    grown = nodes.where("parent_path <> '' AND coalesce(rel, '') <> 'root'").select(*tree, F.col("parent_path").alias("node_path")).distinct()
+    shut = nodes.where("parent_path <> '' AND rel = 'formed_from' AND term <> ''").join(grown, [*tree, "node_path"], "left_anti").select(*tree, "term").distinct()
+    links = cut(shut.join(lookup.select(F.col("form").alias("term"), F.col("word_id").alias("part_id")), "term").select(*tree, F.lower("term").alias("form"), "part_id").distinct())
+    primary_only = prime.select(*tree)
+    heads = nodes.where("parent_path = ''").join(primary_only, tree, "left_semi").groupBy("word_id").agg(F.collect_set(F.lower("term")).alias("seen"))
+    onward = links.join(primary_only, tree, "left_semi").select(F.col("word_id").alias("at"), "form", F.col("part_id").alias("next"))
+    below = nodes.where("parent_path <> ''").join(primary_only, tree, "left_semi").select(F.col("word_id").alias("part_id"), "lang").distinct()
+    fresh = lambda df: df.where(~F.array_contains("seen", F.col("form"))).select("word_id", "part_id", F.array_sort(F.array_union("seen", F.array("form"))).alias("seen")).distinct()
+    level = cut(fresh(links.join(heads, "word_id")))
+    reached = level.select("word_id", "part_id")
+    for _ in range(depth - 1):
+        level = cut(fresh(level.withColumnRenamed("part_id", "at").join(onward, "at").withColumnRenamed("next", "part_id")))
+        reached = reached.unionByName(level.select("word_id", "part_id"))
+    shown = reached.distinct().join(below, "part_id").select("word_id", "lang")
+    return nodes.select("word_id", "lang").unionByName(shown).where("lang IS NOT NULL").distinct()
+
+
+def strays(lines: DataFrame, shown: DataFrame, readings_: DataFrame | None = None) -> DataFrame:
+    """``word_id, lang``: languages of a word's line, and of the root its readings name, that ``shown`` (``word_id, lang``) lacks for that word; none are expected."""
+    told = lines.select("word_id", F.explode(F.array_distinct(F.transform("line", lambda s: s["lang"]))).alias("lang"))
+    if readings_ is not None:
+        told = told.unionByName(readings_.select("word_id", F.regexp_replace("root_name", r" \(from PIE\)$", "").alias("lang"))).distinct()
+    return told.where("lang IS NOT NULL").join(shown.select("word_id", "lang").distinct(), ["word_id", "lang"], "left_anti").select("word_id", "lang")

@@ -46,14 +46,18 @@ def word_primary_tree(spark, sf):
     return p.select("word_id", "tree_no", F.size("spine").alias("steps"))
 
 
+def _answering_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """``form, word_id``: the word that answers for each form."""
+    words = table(spark, sf, "word").where("key_lower IS NOT NULL")
+    return shares.surface_forms(words).groupBy("form").agg(F.min_by("word_id", F.struct("rank", "word_id")).alias("word_id"))
+
+
 @query()
 def word_readings(spark, sf):
     """Every word in three readings, components followed into their own words."""
     n = cut(nodes(spark, sf))
     prime = cut(lineage.primary(lineage.spines(n)))
-    words = table(spark, sf, "word").where("key_lower IS NOT NULL")
-    forms = shares.surface_forms(words).groupBy("form").agg(F.min_by("word_id", F.struct("rank", "word_id")).alias("word_id"))
-    return lineage.readings(lineage.lineages(prime, lineage.components(n, prime, forms)), table(spark, sf, "languages"))
+    return lineage.readings(lineage.lineages(prime, lineage.components(n, prime, _answering_forms(spark, sf))), table(spark, sf, "languages"))
 
 
 @query(NODES_CTE + """ SELECT term, CAST(sum(CAST(coalesce(is_affix IN ('true', '1'), false) AS INT)) AS BIGINT) AS flagged, count(*) AS seen FROM x WHERE term IS NOT NULL GROUP BY term
@@ -193,10 +197,13 @@ def stub_trees(spark, sf):
 
 @query()
 def line_strays(spark, sf):
-    """How many languages of lines no stored tree shows: none are expected."""
+    """How many languages of lines through components and of the roots read from them the word's own drawn tree lacks: none are expected."""
     n = cut(nodes(spark, sf))
-    prime = lineage.primary(lineage.spines(n))
-    return lineage.strays(prime.select("word_id", F.col("spine").alias("line")), n).agg(F.count(F.lit(1)).alias("strays"))
+    prime = cut(lineage.primary(cut(lineage.spines(n))))
+    forms = cut(_answering_forms(spark, sf))
+    lines = cut(lineage.lineages(prime, lineage.components(n, prime, forms)))
+    read = cut(lineage.readings(lines, table(spark, sf, "languages")).select("word_id", "root_name"))
+    return lineage.strays(lines, lineage.drawn(n, prime, forms), read).agg(F.count(F.lit(1)).alias("strays"))
 
 
 @query()
