@@ -153,7 +153,7 @@ def corrected(readings_: DataFrame, fixes: DataFrame) -> DataFrame:
     return j.withColumn("corrected", differs).withColumn("direct", F.when(F.col("corrected"), F.col("__p")).otherwise(F.col("direct"))).drop("__p")
 
 
-def inherited_roots(links: DataFrame, roots: DataFrame, rounds: int = 20) -> DataFrame:
+def inherited_roots(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Words without a root take that of the word they come from, over and over until nothing changes: ``word, root, via``.
 
     ``links``: ``word, base``; ``roots``: ``word, root``. A word with several bases takes the first in order; each round
@@ -161,14 +161,13 @@ def inherited_roots(links: DataFrame, roots: DataFrame, rounds: int = 20) -> Dat
     """
     done = cut(roots.where(F.col("root").isNotNull()).groupBy("word").agg(F.min("root").alias("root")).withColumn("via", F.col("word")))
     fresh = done
-    for _ in range(rounds):
+    while True:
         step = links.join(fresh.select(F.col("word").alias("base"), "root", "via"), "base")
         step = step.join(done.select("word"), "word", "left_anti").groupBy("word").agg(F.min(F.struct("base", "root", "via")).alias("s")).select("word", "s.root", "s.via")
         fresh = cut(step)
         if not fresh.take(1):
-            break
+            return done
         done = cut(done.unionByName(fresh))
-    return done
 
 
 def stubs(nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
-from stemline.functions import chains, classify
+from stemline.functions import chains, classify, text
 from stemline.session import cut
 
 #: Relation names by what they state.
@@ -55,20 +55,32 @@ def records(rows: DataFrame, languages: DataFrame, order: str = "pos") -> DataFr
     return chains.with_record(g, "foreign", "roots", "stages").select("term_id", "term", "record")
 
 
-def patched_stubs(records_: DataFrame, pointers: DataFrame, hubs: tuple[str, ...] = (), rounds: int = 20) -> DataFrame:
+def patched_stubs(records_: DataFrame, pointers: DataFrame, hubs: tuple[str, ...] = (), inflected: DataFrame | None = None) -> DataFrame:
     """Bare roots and missing words take the record of the word they point at (``term, base, priority``), until nothing changes.
 
-    Only reliable records are handed on; pointers to affixes are none; ``via`` names the word whose record it is.
+    A base without any record stands for the word it is an inflected form of (``inflected``: ``form, base``), else for the
+    first of its stems, that has a record of more than a bare root. Only reliable records are handed on; pointers to affixes
+    are none; ``via`` names the word whose record it is. Each round needs new terms, so cycles end by themselves.
     """
     real = F.coalesce(F.col("record.prox_kind") != "root", F.lit(False))
     whole = records_.groupBy("term").agg(F.min_by("record", "term_id").alias("record"))
     done = cut(whole.where(real).withColumn("via", F.lit(None).cast("string")))
     base = F.trim(F.regexp_replace("base", "#.*$", ""))
     links = pointers.withColumn("base", base).where(~F.startswith("base", F.lit("-")) & ~F.endswith("base", F.lit("-")))
+    lost = links.join(whole.select(F.col("term").alias("base")), "base", "left_anti").select("base", F.lower("base").alias("low")).distinct()
+    stems = lost.select("base", F.posexplode(text.stem_candidates(F.col("low"))).alias("place", "stem"))
+    if inflected is not None:
+        forms = inflected.select(F.col("form").alias("low"), F.col("base").alias("stem")).where(F.lower("stem") != F.col("low"))
+        stems = stems.unionByName(lost.join(forms, "low").select("base", F.lit(-1).alias("place"), "stem"))
+    stems = cut(stems)
     fresh = done
-    for _ in range(rounds):
-        ok = fresh.where(chains.is_reliable_root(F.col("record.chain"), F.col("record.root_lang"), hubs)).select(F.col("term").alias("base"), "record", F.coalesce("via", "term").alias("via"))
-        step = links.join(done.select("term"), "term", "left_anti").join(ok, "base")
+    ok = F.coalesce(chains.is_reliable_root(F.col("record.chain"), F.col("record.root_lang"), hubs), F.lit(False))
+    while True:
+        exact = fresh.where(ok).select(F.col("term").alias("base"), "record", F.coalesce("via", "term").alias("via"))
+        # the first stem with a record decides, even if that is then not reliable
+        held = stems.join(done.select(F.col("term").alias("base")), "base", "left_anti").join(done.select(F.col("term").alias("stem"), "record", "via"), "stem")
+        held = held.groupBy("base").agg(F.min_by(F.struct("record", F.coalesce("via", "stem").alias("via")), F.struct("place", "stem")).alias("s")).select("base", "s.record", "s.via").where(ok)
+        step = links.join(done.select("term"), "term", "left_anti").join(exact.unionByName(held), "base")
         fresh = cut(step.groupBy("term").agg(F.min_by(F.struct("record", "via"), F.struct("priority", "base")).alias("s")).select("term", "s.record", "s.via"))
         if not fresh.take(1):
             break

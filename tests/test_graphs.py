@@ -228,3 +228,20 @@ def test_drawn_depth_and_loops(spark):
     assert {r.lang for r in lineage.drawn(n, prime, lookup).where("word_id = 1").collect()} == {"English", "L1", "L2", "L3", "L4", "L5"}
     two = n.where("word_id < 3").withColumn("term", F.when((F.col("word_id") == 2) & (F.col("rel") == "formed_from"), "W1").otherwise(F.col("term")))
     assert {r.lang for r in lineage.drawn(two, prime, lookup.unionByName(spark.createDataFrame([("W1", 3)], "form string, word_id long"))).where("word_id = 1").collect()} == {"English", "L1", "L2"}
+
+
+def test_inheritance_ends_only_when_nothing_changes(spark):
+    far = [(f"w{i:02}", f"w{i - 1:02}") for i in range(1, 24)]
+    roots = spark.createDataFrame([("w00", "R")], "word string, root string")
+    assert {tuple(r) for r in lineage.inherited_roots(spark.createDataFrame(far, "word string, base string"), roots).collect()} == {(f"w{i:02}", "R", "w00") for i in range(24)}
+    languages = spark.createDataFrame([("Latin", "Latin", -75, 476), ("Proto-Q", "PIE", -4000, -2000)], "name string, bucket string, era_start int, era_end int")
+    rel = [("1", "w00", "derived_from", "Latin", "x", 0, None, None), ("2", "explain", "derived_from", "Latin", "y", 0, None, None), ("3", "walked", "has_root", "Proto-Q", "q", 0, None, None), ("4", "walk", "derived_from", "Latin", "z", 0, None, None)]
+    r = relations.records(spark.createDataFrame(rel, REL), languages)
+    more = [("unexplained", "explained"), ("unheard", "heard"), ("unwalked", "walked"), ("reunexplained", "unexplained")]
+    pointers = spark.createDataFrame([(t, b, 0) for t, b in far + more], "term string, base string, priority int")
+    inflected = spark.createDataFrame([("heard", "w00"), ("explaineds", "w00")], "form string, base string")
+    via = {x.term: x.via for x in relations.patched_stubs(r, pointers, inflected=inflected).collect()}
+    assert all(via[f"w{i:02}"] == "w00" for i in range(1, 24))
+    assert via["unexplained"] == via["reunexplained"] == "explain" and via["unheard"] == "w00"
+    # a stub is a record, so its stems are not tried
+    assert "unwalked" not in via and via["walked"] is None
