@@ -14,6 +14,20 @@ KINDS = {**{r: "borrowed" for r in BORROWED}, "derived_from": "derived", "inheri
 MARKERS = ("group_derived_root", "group_related_root", "group_affix_root")
 NO_DONORS = ("Translingual",)
 DEPTH = 16
+#: Fixed value: how far back a language lies, English stages before any foreign one. Orders separate groups only; eras order steps.
+DEPTH_HINT = {
+    **dict.fromkeys(("Middle English", "English", "Scots"), 0),
+    "Old English": 1,
+    **dict.fromkeys(("French", "German", "Dutch", "Irish", "Modern Greek"), 10),
+    **dict.fromkeys(("Middle French", "Middle High German", "Middle Low German", "Middle Dutch", "Middle Irish", "New Latin", "Byzantine Greek", "Medieval Greek"), 11),
+    **dict.fromkeys(("Old French", "Anglo-Norman", "Norman", "Old Northern French", "Old Norse", "Old High German", "Old Saxon", "Old Dutch", "Old Frisian", "Old Irish", "Medieval Latin"), 12),
+    **dict.fromkeys(("Late Latin", "Vulgar Latin", "Koine Greek"), 13),
+    **dict.fromkeys(("Latin", "Ancient Greek"), 14),
+    **dict.fromkeys(("Proto-West Germanic", "Proto-Italic", "Proto-Celtic", "Proto-Slavic", "Sanskrit"), 15),
+    "Proto-Germanic": 16,
+    "Proto-Indo-European": 18,
+}
+NO_HINT = 10
 
 
 def expanded(rows: DataFrame, order: str = "pos") -> DataFrame:
@@ -41,12 +55,12 @@ def expanded(rows: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def records(rows: DataFrame, languages: DataFrame, order: str = "pos") -> DataFrame:
-    """``term_id, term, record``: the chain record of each term; separate groups by the depth of their first language, roots last."""
+    """``term_id, term, record``: the chain record of each term; separate groups by the depth hint of their first language (of a root only where there is no other), roots last."""
     e = classify.with_bucket(expanded(rows, order), "lang", languages)
     eras = languages.groupBy(F.col("name").alias("lang")).agg(F.min("era_start").alias("era_start"), F.min("era_end").alias("era_end"))
     e = e.join(eras, "lang", "left").withColumn("item", F.element_at(F.split("path", "/"), 1))
-    first = F.first("era_start").over(Window.partitionBy("term_id", "item").orderBy("path"))
-    e = e.withColumn("depth", F.coalesce(-first, F.lit(99999)))
+    first = F.first("lang").over(Window.partitionBy("term_id", "item").orderBy(F.col("kind") == "root", "path"))
+    e = e.withColumn("depth", F.coalesce(classify.lookup(DEPTH_HINT, first), F.lit(NO_HINT)))
     step = F.struct("depth", "item", "path", "lang", F.col("related").alias("term"), F.col("kind").alias("rel"), "bucket", "era_start", "era_end")
     g = e.groupBy("term_id").agg(F.min("term").alias("term"), F.array_sort(F.collect_list(step)).alias("line"))
     english = lambda s: classify.is_english_stage(s["lang"])

@@ -245,3 +245,13 @@ def test_inheritance_ends_only_when_nothing_changes(spark):
     assert via["unexplained"] == via["reunexplained"] == "explain" and via["unheard"] == "w00"
     # a stub is a record, so its stems are not tried
     assert "unwalked" not in via and via["walked"] is None
+
+
+def test_groups_follow_depth_hints(spark):
+    rel = [
+        ("1", "a", "derived_from", "Latin", "l", 0, None, None), ("1", "a", "derived_from", "Nowhere", "n", 1, None, None), ("1", "a", "derived_from", "Old French", "f", 2, None, None),
+        ("2", "b", "derived_from", "Old French", "f", 0, None, None), ("2", "b", "has_root", "Proto-Indo-European", "r", 1, "g", None), ("2", "b", "derived_from", "French", "m", 2, None, "g"),
+    ]
+    languages = spark.createDataFrame([("Latin", "Latin", -75, 476), ("Old French", "French", 800, 1400), ("French", "Modern", 1600, 9999), ("Nowhere", "Other", None, None), ("Proto-Indo-European", "PIE", -4000, -2000)], "name string, bucket string, era_start int, era_end int")
+    got = {x.term: x.record.chain for x in relations.records(spark.createDataFrame(rel, REL), languages).collect()}
+    assert got == {"a": ["Other", "French", "Latin"], "b": ["Modern", "French", "PIE"]}
