@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame, Window
 
 from stemline.functions import chains, classify, text
@@ -13,7 +18,6 @@ BORROWED = ("borrowed_from", "learned_borrowing_from", "semi_learned_borrowing_f
 KINDS = {**{r: "borrowed" for r in BORROWED}, "derived_from": "derived", "inherited_from": "inherited", "has_root": "root"}
 MARKERS = ("group_derived_root", "group_related_root", "group_affix_root")
 NO_DONORS = ("Translingual",)
-DEPTH = 16
 #: Fixed value: how far back a language lies, English stages before any foreign one. Orders separate groups only; eras order steps.
 DEPTH_HINT = {
     **dict.fromkeys(("Middle English", "English", "Scots"), 0),
@@ -33,27 +37,52 @@ NO_HINT = 10
 def expanded(rows: DataFrame, order: str = "pos") -> DataFrame:
     """``term_id, term, path, kind, lang, related``: ancestry rows in the order of their groups, groups within groups below their opener.
 
-    Level-wise joins on the group's tag, at most ``DEPTH`` of them; a group that holds itself is followed once a level.
+    Groups are followed however deep they lie; the rows of a term, which one dictionary entry bounds, are walked in one
+    task. A row whose group is open above it, as where a group holds itself, is left out, so loops end.
     """
     r = rows.where(F.col("reltype").isin(*KINDS, *MARKERS) | F.col("group_tag").isNotNull())
-    label = F.lpad(F.col(order).cast("string"), 9, "0")
-    top = r.where(F.col("parent_tag").isNull()).withColumn("path", label).withColumn("tags", F.array("group_tag"))
-    level, levels = top, [top]
-    kids = r.where(F.col("parent_tag").isNotNull())
-    for _ in range(DEPTH):
-        up = level.where("group_tag IS NOT NULL").select("term_id", F.col("group_tag").alias("parent_tag"), F.col("path").alias("above"), F.col("tags").alias("seen"))
-        level = kids.join(up, ["term_id", "parent_tag"]).where(F.col("group_tag").isNull() | ~F.array_contains("seen", F.col("group_tag")))
-        level = level.withColumn("path", F.concat_ws("/", "above", label)).withColumn("tags", F.concat("seen", F.array("group_tag"))).select(*top.columns)
-        if not level.take(1):
-            break
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
+    r = r.withColumn("path", F.lpad(F.col(order).cast("string"), 9, "0"))
+    out = r.where(F.col("parent_tag").isNull())
+    if r.where(F.col("parent_tag").isNotNull()).take(1):
+        out = _walked(r)
     kept = out.where(F.col("reltype").isin(*KINDS) & F.col("related_lang").isNotNull() & ~F.col("related_lang").isin(*NO_DONORS))
     return kept.select("term_id", "term", "path", classify.lookup(KINDS, F.col("reltype")).alias("kind"), F.col("related_lang").alias("lang"), F.col("related_term").alias("related"))
 
 
+def _walked(rows: DataFrame) -> DataFrame:
+    """Rows that a walk from the top rows of their term reaches, with the path there."""
+    said = ("term", "reltype", "related_lang", "related_term")
+    g = rows.groupBy("term_id").agg(F.collect_list(F.struct("path", "group_tag", "parent_tag", *said)).alias("rows"))
+    schema = T.StructType([g.schema["term_id"], T.StructField("path", T.StringType()), *[T.StructField(c, T.StringType()) for c in said]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column(1).flatten(), pc.list_value_length(batch.column(1)).to_pylist()
+            label, tag, above = (flat.field(c).to_pylist() for c in ("path", "group_tag", "parent_tag"))
+            of, at, paths, lo = [], [], [], 0
+            for t, n in enumerate(ends):
+                kids: dict[str, list[int]] = {}
+                open_ = []
+                for i in range(lo, lo + n):
+                    if above[i] is None:
+                        open_.append((i, label[i], (tag[i],)))
+                    else:
+                        kids.setdefault(above[i], []).append(i)
+                lo += n
+                while open_:
+                    i, path, seen = open_.pop()
+                    of.append(t)
+                    at.append(i)
+                    paths.append(path)
+                    if tag[i] is not None:
+                        open_ += [(k, f"{path}/{label[k]}", (*seen, tag[k])) for k in kids.get(tag[i], ()) if tag[k] is None or tag[k] not in seen]
+            at = pa.array(at, pa.int64())
+            columns = [batch.column(0).take(pa.array(of, pa.int64())), pa.array(paths, pa.string()), *[flat.field(c).take(at) for c in said]]
+            yield from pa.Table.from_arrays(columns, schema.names).to_batches(max_chunksize=20_000)
+
+    return g.mapInArrow(run, schema)
+
+
 def records(rows: DataFrame, languages: DataFrame, order: str = "pos") -> DataFrame:
     """``term_id, term, record``: the chain record of each term; separate groups by the depth hint of their first language (of a root only where there is no other), roots last."""
     e = classify.with_bucket(expanded(rows, order), "lang", languages)

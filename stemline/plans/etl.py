@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,10 +68,55 @@ def _relation_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _looped_lines(nodes: DataFrame) -> DataFrame:
+    """``node_id, line`` of nodes that no root reaches, on a loop or below one: followed until an ancestor comes again. A tree's part of them is one task's."""
+    step = pa.struct([("i", pa.int64()), ("l", pa.string()), ("t", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree in batch.column(0).to_pylist():
+                at = {x["node_id"]: x for x in tree}
+                lines = []
+                for x in tree:
+                    line, seen, up = [x["s"]], set(), x["up"]
+                    while up in at and up not in seen:
+                        seen.add(up)
+                        line.append(at[up]["s"])
+                        up = at[up]["up"]
+                    lines.append(line)
+                yield pa.RecordBatch.from_arrays([pa.array([x["node_id"] for x in tree], pa.int64()), pa.array(lines, pa.list_(step))], ["node_id", "line"])
+
+    return nodes.groupBy("tree_id").agg(F.collect_list(F.struct("node_id", "up", "s")).alias("nodes")).select("nodes").mapInArrow(run, "node_id long, line array<struct<i:long,l:string,t:string>>")
+
+
+def _ancestor_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole line above each node as groups within groups: one row an ancestor, which opens a group and lies in the group of the one before.
+
+    Nodes without a language are markers: they state nothing, but their group goes on.
+    """
+    n = table(spark, sf, "descendant_node").where("node_id IS NOT NULL")
+    # JSON in which the separator of paths is escaped
+    label = F.replace(F.to_json(F.struct(F.col("node_id").alias("i"), F.col("lang").alias("l"), F.col("term").alias("t"))), F.lit("/"), F.lit(r"\u002f"))
+    h = cut(hierarchy(n, paths=True, label=label))
+    ups = F.reverse(F.split("path", "/"))
+    own = h.where("depth > 0").select("node_id", F.transform(ups, lambda x: F.from_json(x, "i long, l string, t string")).alias("line"))
+    lost = h.where("depth < 0").select("node_id", "tree_id")
+    e = n.join(lost, (n.node_id == lost.node_id) & n.tree_id.eqNullSafe(lost.tree_id), "left_semi").groupBy("tree_id", "node_id").agg(F.min("parent_id").alias("up"), F.min(F.struct(F.col("node_id").alias("i"), F.col("lang").alias("l"), F.col("term").alias("t"))).alias("s"))
+    own = own.unionByName(_looped_lines(e))
+    at = own.where(F.get("line", F.lit(0))["t"].isNotNull()).select("node_id", "line", F.posexplode(F.slice("line", F.lit(2), F.size("line") - 1)).alias("i", "a"))
+    below = F.get("line", F.col("i"))
+    lang = F.col("a.l")
+    rel = F.when(lang.isNull(), "group_related_root").when(lang == below["l"], "derived_from").when(classify.is_proto(lang), "inherited_from").otherwise("borrowed_from")
+    return at.select(
+        F.col("node_id").cast("string").alias("term_id"), F.get("line", F.lit(0))["t"].alias("term"), rel.alias("reltype"), lang.alias("related_lang"), F.col("a.t").alias("related_term"), F.col("i").alias("pos"),
+        F.col("a.i").cast("string").alias("group_tag"), F.when(F.col("i") > 0, below["i"].cast("string")).alias("parent_tag"),
+    )
+
+
 @query()
 def relation_chains(spark, sf):
-    """The chain record of each node from the relation to its parent."""
-    r = relations.records(_relation_rows(spark, sf), table(spark, sf, "languages"))
+    """The chain record of each node from its whole line of ancestors."""
+    r = relations.records(_ancestor_rows(spark, sf), table(spark, sf, "languages"))
     c = F.col("record")
     return r.select("term_id", "term", c["p"].alias("p"), c["d"].alias("d"), F.array_join(c["chain"], ">").alias("chain"), c["prox_kind"].alias("prox_kind"), c["root_lang"].alias("root_lang"))
 

@@ -255,3 +255,23 @@ def test_groups_follow_depth_hints(spark):
     languages = spark.createDataFrame([("Latin", "Latin", -75, 476), ("Old French", "French", 800, 1400), ("French", "Modern", 1600, 9999), ("Nowhere", "Other", None, None), ("Proto-Indo-European", "PIE", -4000, -2000)], "name string, bucket string, era_start int, era_end int")
     got = {x.term: x.record.chain for x in relations.records(spark.createDataFrame(rel, REL), languages).collect()}
     assert got == {"a": ["Other", "French", "Latin"], "b": ["Modern", "French", "PIE"]}
+
+
+def test_groups_however_deep(spark):
+    rows = [("1", "a", "derived_from", f"L{i:02}", "x", i, f"g{i}", f"g{i - 1}" if i else None) for i in range(40)]
+    got = relations.expanded(spark.createDataFrame(rows, REL)).orderBy("path").collect()
+    assert [r.lang for r in got] == [f"L{i:02}" for i in range(40)]
+
+
+def test_chains_of_whole_lines(spark, tmp_path):
+    from stemline.plans import etl
+
+    rows = [(1, 1, None, "Latin", "l/é"), (2, 1, 1, None, None), (3, 1, 2, "Old French", "f"), (4, 1, 3, "English", "e"), (5, 2, 6, "Latin", "x"), (6, 2, 5, "French", "y"), (7, 2, 6, "English", "z"), (8, 3, 9, "Latin", "lost parent")]
+    spark.createDataFrame(rows, "node_id long, tree_id long, parent_id long, lang string, term string").write.parquet(f"{tmp_path}/descendant_node.parquet")
+    spark.createDataFrame([("Latin", "Latin", -75, 476), ("Old French", "French", 800, 1400), ("French", "French", 1600, 9999)], "name string, bucket string, era_start int, era_end int").write.parquet(f"{tmp_path}/languages.parquet")
+    line = {k: [] for k in "1345678"}
+    for r in relations.expanded(etl._ancestor_rows(spark, str(tmp_path))).orderBy("term_id", "path").collect():
+        line[r.term_id].append((r.lang, r.related))
+    assert line["4"] == [("Old French", "f"), ("Latin", "l/é")] and line["3"] == [("Latin", "l/é")] and line["1"] == line["8"] == []
+    assert line["5"] == [("French", "y"), ("Latin", "x")] and line["7"] == [("French", "y"), ("Latin", "x")]
+    assert {r.term_id: r.chain for r in etl.relation_chains(spark, str(tmp_path)).collect()} == {"3": "Latin", "4": "French>Latin", "5": "French>Latin", "6": "Latin>French", "7": "French>Latin"}
