@@ -28,7 +28,6 @@ _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdefABCDEF")] = True
 _NUMBER = re.compile(rb"-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?")
 _CHUNK = 3 << 20
-_THROUGH = 16
 
 
 class _Index:
@@ -228,7 +227,7 @@ class _Index:
         return out
 
 
-def _flatten(data: np.ndarray, offsets: np.ndarray, source: np.ndarray, fields: tuple[str, ...], through: int = 0) -> Iterator[dict]:
+def _flatten(data: np.ndarray, offsets: np.ndarray, source: np.ndarray, fields: tuple[str, ...]) -> Iterator[dict]:
     """Node arrays of a chunk; ``source`` maps its rows to the caller's rows."""
     if len(offsets) < 2 or offsets[-1] == offsets[0]:
         return
@@ -237,12 +236,12 @@ def _flatten(data: np.ndarray, offsets: np.ndarray, source: np.ndarray, fields:
         return
     ok = ~x.bad[x.row]
     top = x.value & (x.container < 0) & ok
-    # JSON that is a text holding JSON is read through
+    # JSON that is a text holding JSON is read through; each time it is shorter, so this ends
     texts = np.flatnonzero(top & (x.kind == _STR))
-    if len(texts) and through < _THROUGH:
+    if len(texts):
         inner = [json.loads(x.text(i)).encode("utf-8", "replace") for i in texts]
         ends = np.cumsum([0, *map(len, inner)])
-        yield from _flatten(np.frombuffer(b"".join(inner), np.uint8), ends, source[x.row[texts]], fields, through + 1)
+        yield from _flatten(np.frombuffer(b"".join(inner), np.uint8), ends, source[x.row[texts]], fields)
 
     entry = np.flatnonzero(x.value & ok & (x.container >= 0))
     is_object = x.kind == _OBR
@@ -302,7 +301,7 @@ def flatten_json_trees(df: DataFrame, id_col: str = "word_id", json_col: str = "
     child at place i: parent's path + ``.i``), ``parent_path`` (empty for the head), then ``fields`` as text.
 
     Defined cases: null, empty and invalid JSON, scalars, empty lists and empty objects give no rows; null entries keep
-    their place; JSON within a JSON text is read through (up to 16 times); a child outside a list has place 0;
+    their place; JSON within a JSON text is read through, however often it is wrapped; a child outside a list has place 0;
     ``branches`` is read where a node has no ``children``; entries that are no objects are no nodes; of repeated keys the
     last counts; rows with equal ids are kept apart as they come; extra columns are ignored, whatever their names.
     """

@@ -79,3 +79,10 @@ def test_operator_with_clashing_columns_nulls_and_fields(spark):
     got = sorted(tuple(r) for r in flatten_json_trees(df, fields=("term", "lang", "is_root")).collect())
     assert got == [(2, 1, "0", "", "xé", None, None)] * 2 + [(2, 1, "0.0", "0", "5", None, "true")] * 2
     assert flatten_json_trees(df.limit(0)).count() == 0
+
+
+def test_text_wrapped_often():
+    text = '{"lang":"a"}'
+    for _ in range(18):
+        text = json.dumps(text)
+    assert rows([text, '"\\"\\""']) == [(0, 1, "0", "")]
