@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
-import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, Window
 
 from stemline.operators.hierarchy import hierarchy
+from stemline.operators.treearrays import Trees, distinct_nodes, ids, spans
 from stemline.session import cut, partitions_for
 
 CLIMB = 6
@@ -76,21 +78,41 @@ def place(ordinal: Column, node: Column) -> Column:
 def breadth_first(nodes: DataFrame) -> DataFrame:
     """``tree_id, node_id, depth, path, rank``: nodes in breadth-first order of their tree; nodes on loops are left out."""
     h = hierarchy(nodes, paths=True, label=place(F.col("ordinal"), F.col("node_id"))).where("depth >= 0")
-    return h.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy("depth", "path")))
+    return ranked(h, "tree_id", "depth", "path")
+
+
+def ranked(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """Adds the ``rank`` of each row in its group. Rows are laid out by ranges of group and order, so a group of any size is many tasks' work: each counts its rows, and a row's rank is its place there behind what lies before."""
+    laid = cut(df.repartitionByRange(group, *order).withColumn("__p", F.spark_partition_id()))
+    counts = laid.groupBy(group, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    # a row a task and group: a group has no more of them than there are tasks
+    before = counts.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), (F.sum("__n").over(Window.partitionBy(group).orderBy("__p")) - F.col("__n")).alias("__before"))
+    here = laid.withColumn("__r", F.row_number().over(Window.partitionBy(group, "__p").orderBy(*order)))
+    j = here.join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return j.withColumn("rank", F.col("__r") + F.col("__before")).drop("__p", "__q", "__g", "__r", "__before")
 
 
 def pruned(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Per tree its nodes, those shown within the budget, and whether it was cut: shallow nodes first."""
-    b = breadth_first(nodes)
-    return b.groupBy("tree_id").agg(F.count(F.lit(1)).alias("total"), F.sum((F.col("rank") <= budget).cast("long")).alias("shown")).withColumn("truncated", F.col("shown") < F.col("total"))
+    """Per tree its nodes, those shown within the budget, and whether it was cut."""
+    n = hierarchy(nodes).where("depth >= 0").groupBy("tree_id").agg(F.count(F.lit(1)).alias("total"))
+    return n.withColumn("shown", F.least("total", F.lit(budget).cast("long"))).withColumn("truncated", F.col("shown") < F.col("total"))
+
+
+def pruned_nodes(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``tree_id, node_id, rank, pruned``: the nodes shown within the budget, shallow ones first, each with how many of its direct children were cut."""
+    b = cut(breadth_first(nodes).select("tree_id", "node_id", "rank"))
+    parent = nodes.where("node_id IS NOT NULL").groupBy("tree_id", "node_id").agg(F.min("parent_id").alias("parent_id"))
+    gone = b.where(F.col("rank") > budget).join(parent, ["tree_id", "node_id"]).groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("pruned"))
+    return b.where(F.col("rank") <= budget).join(gone, ["tree_id", "node_id"], "left").withColumn("pruned", F.coalesce("pruned", F.lit(0)))
 
 
 def on_path(nodes: DataFrame, match: Column) -> DataFrame:
-    """``tree_id, node_id, match``: nodes that match and all nodes above them."""
-    h = hierarchy(nodes, paths=True).where("depth >= 0")
-    hits = nodes.where(match).select("node_id", "tree_id").distinct()
-    steps = h.join(hits, ["node_id", "tree_id"], "left_semi").select("tree_id", F.col("node_id").alias("hit"), F.explode(F.split("path", "/")).alias("s"))
-    return steps.select("tree_id", F.col("s").cast("long").alias("node_id"), (F.col("s").cast("long") == F.col("hit")).alias("m")).groupBy("tree_id", "node_id").agg(F.max("m").alias("match"))
+    """``tree_id, node_id, match``: nodes that match and all nodes above them, from the sum of the matches below each node."""
+    hit = F.coalesce(match, F.lit(False)).cast("int")
+    h = hierarchy(nodes, weight=hit).where("depth >= 0")
+    own = nodes.where(match).select("tree_id", "node_id").distinct().withColumn("match", F.lit(True))
+    j = h.join(own, ["tree_id", "node_id"], "left").withColumn("match", F.coalesce("match", F.lit(False)))
+    return j.where(F.col("match") | (F.col("below") > 0)).select("tree_id", "node_id", "match")
 
 
 def splice(nodes: DataFrame, trees: DataFrame, most: int = CLIMB) -> DataFrame:
@@ -128,111 +150,137 @@ def splice(nodes: DataFrame, trees: DataFrame, most: int = CLIMB) -> DataFrame:
     return out.drop("leaf")
 
 
-def _by_tree(nodes: DataFrame, columns: list[str], schema: str, fold) -> DataFrame:
-    """``fold(tree_id, rows)`` for every tree, whole trees packed into tasks; trees come from stored texts of bounded size."""
-    rows = nodes.where(F.col("tree_id").isNotNull()).select("tree_id", *columns)
+def _whole_trees(nodes: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
+    """``work(trees, rows)`` for tasks of whole trees; ``rows`` is a table in the order of ``trees``. Trees come from stored texts, which bounds each; null tree and node ids are left out."""
+    rows = nodes.where(F.col("tree_id").isNotNull() & F.col("node_id").isNotNull()).select(F.col("tree_id").cast("long").alias("tree_id"), F.col("node_id").cast("long").alias("node_id"), F.col("parent_id").cast("long").alias("parent_id"), *columns)
     n = partitions_for(nodes.sparkSession, rows.count(), _ROWS_PER_TASK)
-    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held).sort_by([("tree_id", "ascending")])
-        ids = t.column("tree_id").to_numpy()
-        edges = np.flatnonzero(np.diff(ids)) + 1
-        out: list[dict] = []
-        types = dict(zip(names, (f.split()[1] for f in schema.split(", "))))
-        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-        target = pa.schema([(k, kinds[v]) for k, v in types.items()])
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)]):
-            out.extend(fold(int(ids[a]), t.slice(a, b - a).to_pylist()))
-            if len(out) > 20_000:
-                yield from pa.Table.from_pylist(out, target).to_batches()
-                out = []
-        yield from pa.Table.from_pylist(out, target).to_batches()
+        if held:
+            table = distinct_nodes(pa.Table.from_batches(held), ("parent_id",))
+            del held
+            rank = pc.fill_null(table.column("ordinal"), 0).to_numpy()
+            node = ids(table.column("node_id"))
+            order = np.empty(len(node), np.int64)
+            order[np.lexsort((node, rank))] = np.arange(len(node))
+            yield from work(Trees(node, ids(table.column("tree_id")), ids(table.column("parent_id")), order), table)
 
     return rows.repartition(n, "tree_id").mapInArrow(run, schema)
 
 
-def _children(rows: list[dict]) -> tuple[dict, list[dict], list[dict]]:
-    """Children of each node in order, the nodes without a parent in the tree, and all nodes with parents before children."""
-    known = {r["node_id"] for r in rows}
-    rows = sorted(rows, key=lambda r: (r["ordinal"] or 0, r["node_id"]))
-    kids: dict = {}
-    tops = []
-    for r in rows:
-        if r["parent_id"] in known:
-            kids.setdefault(r["parent_id"], []).append(r)
-        else:
-            tops.append(r)
-    order, at = list(tops), 0
-    while at < len(order):
-        order.extend(kids.get(order[at]["node_id"], ()))
-        at += 1
-    return kids, tops, order
+def _digests(column: pa.ChunkedArray) -> np.ndarray:
+    """Two 64-bit numbers a value; null has its own. Each distinct value is hashed once."""
+    coded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    made = [blake2b(repr(v).encode(), digest_size=16).digest() for v in coded.dictionary.to_pylist()]
+    return np.frombuffer(b"".join(made), np.uint64).reshape(-1, 2)[coded.indices.to_numpy()] if len(column) else np.zeros((0, 2), np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def variants(nodes: DataFrame) -> DataFrame:
     """Sibling spellings merged: ``tree_id, node_id, spellings, variants, merged`` (nodes left and nodes below it gone with the others).
 
-    Siblings are one if they share a language and what is below them is the same; merged from the leaves upwards.
+    Siblings are one if they share a language and what is below them is the same; merged from the leaves upwards. What is
+    below a node is told by a digest of 128 bits: the sum of those of its children left, each from language, term and
+    what is below it, so their order does not count.
     """
 
-    def fold(tree: int, rows: list[dict]) -> list[dict]:
-        kids, tops, order = _children(rows)
-        sign: dict = {}
-        kept: dict = {}
-        spelled: dict = {}
-        size: dict = {}
-        for r in reversed(order):
-            groups: dict = {}
-            for k in kids.get(r["node_id"], ()):
-                groups.setdefault(sign[k["node_id"]], []).append(k)
-            mine = []
-            for g in groups.values():
-                if len(g) > 1:
-                    names = list(dict.fromkeys(x["raw_term"] or x["term"] for x in g if x["raw_term"] or x["term"]))
-                    spelled[g[0]["node_id"]] = (", ".join(names), len(names))
-                mine.append(g[0])
-            kept[r["node_id"]] = mine
-            size[r["node_id"]] = 1 + sum(size[k["node_id"]] for k in kids.get(r["node_id"], ()))
-            sign[r["node_id"]] = hash((r["lang"], tuple(sorted((k["lang"] or "", k["term"] or "", sign[k["node_id"]]) for k in mine))))
-        out, walk = [], list(tops)
-        for r in walk:
-            mine = kept[r["node_id"]]
-            names, n = spelled.get(r["node_id"], (r["raw_term"] or r["term"], 1))
-            gone = size[r["node_id"]] - 1 - sum(size[k["node_id"]] for k in mine)
-            out.append({"tree_id": tree, "node_id": r["node_id"], "spellings": names, "variants": n, "merged": gone})
-            walk.extend(mine)
-        return out
-
-    return _by_tree(nodes, ["node_id", "parent_id", "ordinal", "lang", "term", "raw_term"], "tree_id long, node_id long, spellings string, variants int, merged int", fold)
+    def work(t: Trees, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = len(t.node)
+        lang, term = _digests(rows.column("lang")), _digests(rows.column("term"))
+        below = np.zeros((n, 2), np.uint64)
+        kept, first_of = np.ones(n, bool), np.arange(n)
+        for level in t.levels[::-1]:
+            # equal siblings: the first in order stays; only what stays counts for the parent
+            sign = _mixed(below[level] + _mixed(lang[level]))
+            family = t.up[level] if len(level) and t.depth[level[0]] > 0 else -1 - np.arange(len(level))
+            order = np.lexsort((np.arange(len(level)), sign[:, 1], sign[:, 0], family))
+            f, s = family[order], sign[order]
+            same = np.append(False, (f[1:] == f[:-1]) & (s[1:] == s[:-1]).all(1))
+            head = level[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+            first_of[level[order]] = head
+            kept[level[order]] = ~same
+            left = level[kept[level]]
+            left = left[t.up[left] >= 0]
+            mine = _mixed(_mixed(lang[left]) + np.uint64(3) * term[left] + np.uint64(7) * below[left])
+            for k in (0, 1):
+                np.add.at(below[:, k], t.up[left], mine[:, k])
+        # below a node that went, all is gone
+        for level in t.levels[1:]:
+            kept[level] &= kept[t.up[level]]
+        size = t.sums(np.ones(n, np.int64))
+        gone = size - 1
+        stay = np.flatnonzero(kept & (t.depth >= 0))
+        under = stay[t.up[stay] >= 0]
+        np.subtract.at(gone, t.up[under], size[under])
+        spelled = pc.coalesce(pc.if_else(pc.equal(rows.column("raw_term"), ""), None, rows.column("raw_term")), rows.column("term")).combine_chunks()
+        names, count = spelled.to_pylist(), np.ones(n, np.int32)
+        # the others' spellings, in order, once each
+        merged = np.flatnonzero((first_of != np.arange(n)) & kept[first_of] & (t.depth >= 0))
+        several: dict[int, dict] = {}
+        place = t.preorder()
+        for i in merged[np.argsort(place[merged], kind="stable")].tolist():
+            several.setdefault(int(first_of[i]), {names[first_of[i]]: None})[names[i]] = None
+        for i, found in several.items():
+            given = [x for x in found if x]
+            names[i], count[i] = ", ".join(given), len(given)
+        order = stay[np.argsort(place[stay])]
+        out = pa.array(names, pa.string()).take(pa.array(order))
+        yield pa.RecordBatch.from_arrays([pa.array(t.tree[order]), pa.array(t.node[order]), out, pa.array(count[order]), pa.array(gone[order].astype(np.int32))], ["tree_id", "node_id", "spellings", "variants", "merged"])
+
+    return _whole_trees(nodes, ["ordinal", "lang", "term", "raw_term"], "tree_id long, node_id long, spellings string, variants int, merged int", work)
+
+
+def _quoted(column: pa.ChunkedArray) -> pa.Array:
+    """JSON of each text; each distinct text is escaped once."""
+    coded = column.combine_chunks().dictionary_encode()
+    return pa.array([json.dumps(v, ensure_ascii=False) for v in coded.dictionary.to_pylist()], pa.large_string()).take(coded.indices)
 
 
 def nested(nodes: DataFrame) -> DataFrame:
-    """One JSON text a tree, children in sibling order: ``tree_id, nodes, tree_json``."""
-
-    def fold(tree: int, rows: list[dict]) -> list[dict]:
-        kids, tops, order = _children(rows)
-        made: dict = {}
-        for r in reversed(order):
-            node = {"lang": r["lang"], "term": r["term"]}
-            if r["node_id"] in kids:
-                node["children"] = [made.pop(k["node_id"]) for k in kids[r["node_id"]]]
-            made[r["node_id"]] = _dump(node)
-        text = "[" + ", ".join(made[t["node_id"]] for t in tops) + "]"
-        return [{"tree_id": tree, "nodes": len(order), "tree_json": text}]
-
-    return _by_tree(nodes, ["node_id", "parent_id", "ordinal", "lang", "term"], "tree_id long, nodes int, tree_json string", fold)
-
-
-def _dump(node: dict) -> str:
-    """JSON of a node whose children are JSON already; null fields are left out."""
-    parts = [f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False)}" for k, v in node.items() if k != "children" and v is not None]
-    if "children" in node:
-        parts.append('"children": [' + ", ".join(node["children"]) + "]")
-    return "{" + ", ".join(parts) + "}"
+    """One JSON text a tree, children in sibling order: ``tree_id, nodes, tree_json``. Null fields are left out; nodes on loops are not in it.
+
+    A text is what opens and closes each node, laid out in the order of a walk around the tree.
+    """
+
+    def work(t: Trees, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        sign = lambda x: pa.scalar(x, pa.large_string())
+        fields = [pc.fill_null(pc.binary_join_element_wise(sign(f'"{c}": '), _quoted(rows.column(c)), sign(", "), sign("")), "") for c in ("lang", "term")]
+        inner = t.first[1:] > t.first[:-1]
+        opened = pc.if_else(pa.array(inner), sign('"children": ['), sign(""))
+        told = pc.utf8_rtrim(pc.binary_join_element_wise(*fields, opened, sign("")), ", ")
+        size, pre, depth = t.sums(np.ones(len(t.node), np.int64)), t.preorder(), t.depth.astype(np.int64)
+        reached = np.flatnonzero(t.depth >= 0)
+        reached = reached[np.argsort(pre[reached])]
+        begin = 2 * pre[reached] - depth[reached]
+        # a comma before all but the first of each family
+        family = np.where(t.up[reached] >= 0, t.up[reached], -1)
+        eldest = np.zeros(len(t.node), bool)
+        some = np.flatnonzero(inner)
+        eldest[t.kids[t.first[some]]] = True
+        top = family < 0
+        begins_tree = np.append(True, t.tree[reached][1:] != t.tree[reached][:-1])
+        comma = np.where(top, ~begins_tree, ~eldest[reached])
+        start = pc.binary_join_element_wise(pc.if_else(pa.array(comma), sign(", {"), sign("{")), told.take(pa.array(reached)), sign(""))
+        end = pc.if_else(pa.array(inner[reached]), sign("]}"), sign("}"))
+        place = np.empty(2 * len(reached), np.int64)
+        place[begin] = np.arange(len(reached))
+        place[begin + 2 * size[reached] - 1] = len(reached) + np.arange(len(reached))
+        pieces = pa.concat_arrays([start, end]).take(pa.array(place))
+        edges = spans(t.tree[reached])
+        texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(2 * edges), pieces), sign(""))
+        for k in range(0, len(texts), 1000):
+            part = texts.slice(k, 1000)
+            count = np.diff(edges[k : k + len(part) + 1]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(t.tree[reached][edges[k : k + len(part)]]), pa.array(count), pc.binary_join_element_wise(sign("["), part, sign("]"), sign("")).cast(pa.string())], ["tree_id", "nodes", "tree_json"])
+
+    return _whole_trees(nodes, ["ordinal", "lang", "term"], "tree_id long, nodes int, tree_json string", work)
 
 
 def covered_form(words: DataFrame, word: str, nodes: DataFrame, lang: str = "English") -> DataFrame:

@@ -83,7 +83,7 @@ P5_PATHS_SQL = P5_SQL.replace("0 AS depth FROM e", "0 AS depth, CAST(node_id AS
 
 def p5_descendant_counts(spark: SparkSession, sf: str) -> DataFrame:
     """How many nodes lie below each node."""
-    return hierarchy.descendant_counts(hierarchy.hierarchy(table(spark, sf, "descendant_node"), paths=True))
+    return hierarchy.descendant_counts(table(spark, sf, "descendant_node"))
 
 
 P5_COUNTS_SQL = P5_PATHS_SQL.split("SELECT e.node_id, e.tree_id, w.path")[0] + """

@@ -46,12 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def written(df: DataFrame) -> str:
+    """Write ``df`` to a new folder of the shared folder and tell which."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stemline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stemline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
 
 
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
