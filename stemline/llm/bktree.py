@@ -9,8 +9,12 @@ import pyspark.sql.functions as F
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 
-#: A reference of at most so many rows is broadcast whole; a longer one is cut into shards of this size.
+from stemline.session import cut
+
+#: A reference of at most so many rows is broadcast whole; a longer one is cut into shards of at most about this size.
 SHARD_ROWS = 50_000
+#: So many queries are looked up in one shard by one task.
+BLOCK_QUERIES = 20_000
 
 
 def distance(a: str, b: str) -> int:
@@ -75,7 +79,52 @@ class BKTree:
         return sorted(out)
 
 
-def nearest(queries: DataFrame, query: str, reference: DataFrame, entry: str, most: int = 2) -> DataFrame:
+_grown: dict[tuple, BKTree] = {}
+
+
+def _tree(entries: list[str]) -> BKTree:
+    """The tree of a shard; a worker that is given the shard again, with other queries, keeps it."""
+    key = (len(entries), hash(tuple(entries)))
+    if key not in _grown:
+        if len(_grown) > 3:
+            _grown.clear()
+        _grown[key] = BKTree(entries)
+    return _grown[key]
+
+
+FOUND = "array<struct<d:int,e:string>>"
+
+
+def sharded(queries: DataFrame, reference: DataFrame, keep: int = 1, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """``q, most, found``: the ``keep`` entries nearest to each distinct query (``q, most``), nearest first, ties in alphabetical order.
+
+    The reference (distinct ``e``) is cut into shards by length, a length of many entries by hash too; a query goes only to
+    shards whose length is within its bound. A shard's queries are cut into blocks by their number, and the winners of the shards
+    are merged. Neither side is ever in one task whole.
+    """
+    size = F.length("e").alias("size")
+    lengths = reference.groupBy(size).agg(F.count(F.lit(1)).alias("n")).select("size", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts"))
+    mine = reference.withColumn("size", F.length("e")).join(lengths, "size").select("e", "size", F.pmod(F.xxhash64("e"), F.col("parts")).cast("int").alias("part"))
+    near = F.sequence(F.length("q") - F.col("most"), F.length("q") + F.col("most"))
+    asked = queries.select("q", "most", F.explode(near).alias("size")).join(lengths, "size")
+    asked = cut(asked.select("q", "most", "size", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    blocks = asked.groupBy("size", "part").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("blocks"))
+    asked = asked.join(blocks, ["size", "part"]).withColumn("block", F.pmod(F.xxhash64("q", "most"), F.col("blocks")).cast("int"))
+    mine = mine.join(blocks, ["size", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    schema = T._parse_datatype_string(f"q string, most int, found {FOUND}")
+    kind = pa.list_(pa.struct([("d", pa.int32()), ("e", pa.string())]))
+
+    def shard(left: pa.Table, right: pa.Table) -> pa.Table:
+        tree = _tree(sorted(right.column("e").to_pylist()))
+        pairs = [*zip(left.column("q").to_pylist(), left.column("most").to_pylist())]
+        found = [[{"d": d, "e": e} for d, e in tree.within(q, most)[:keep]] for q, most in pairs]
+        return pa.table({"q": pa.array([q for q, _ in pairs], pa.string()), "most": pa.array([m for _, m in pairs], pa.int32()), "found": pa.array(found, kind)})
+
+    each = asked.select("size", "part", "block", "q", "most").groupBy("size", "part", "block").cogroup(mine.select("size", "part", "block", "e").groupBy("size", "part", "block")).applyInArrow(shard, schema)
+    return each.groupBy("q", "most").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, keep).alias("found"))
+
+
+def nearest(queries: DataFrame, query: str, reference: DataFrame, entry: str, most: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Distinct ``query``, its nearest ``entry`` within ``most`` edits (null where there is none) and the ``distance``.
 
     The reference is broadcast while it is short, else cut into shards that each give a winner, which are then merged;
@@ -84,13 +133,13 @@ def nearest(queries: DataFrame, query: str, reference: DataFrame, entry: str, mo
     spark = queries.sparkSession
     q = queries.where(F.col(query).isNotNull()).select(F.col(query).cast("string").alias("q")).distinct()
     r = reference.where(F.col(entry).isNotNull()).select(F.col(entry).cast("string").alias("e")).distinct()
-    rows = r.count()
-    schema = T.StructType([T.StructField("q", T.StringType()), T.StructField("e", T.StringType()), T.StructField("d", T.IntegerType())])
-    if rows <= SHARD_ROWS:
-        entries = spark.sparkContext.broadcast([x["e"] for x in r.orderBy("e").collect()])
+    held = [x["e"] for x in r.limit(shard_rows + 1).collect()]
+    if len(held) <= shard_rows:
+        schema = T.StructType([T.StructField("q", T.StringType()), T.StructField("e", T.StringType()), T.StructField("d", T.IntegerType())])
+        entries = spark.sparkContext.broadcast(sorted(held))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree = BKTree(entries.value)
+            tree = _tree(entries.value)
             for batch in batches:
                 found = [next(iter(tree.within(t, most)), (None, None)) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found], pa.int32())], ["q", "e", "d"])
@@ -98,18 +147,6 @@ def nearest(queries: DataFrame, query: str, reference: DataFrame, entry: str, mo
         # a query costs far more than its bytes tell, so tasks are counted by cores
         best = q.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(whole, schema)
     else:
-        shards = -(-rows // SHARD_ROWS)
-        mine = r.withColumn("shard", F.pmod(F.xxhash64("e"), F.lit(shards)))
-        asked = q.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(64)))
-        mine = mine.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
-
-        def shard(left: pa.Table, right: pa.Table) -> pa.Table:
-            tree = BKTree(sorted(right.column("e").to_pylist()))
-            texts = left.column("q").to_pylist()
-            found = [next(iter(tree.within(t, most)), (None, None)) for t in texts]
-            return pa.table({"q": pa.array(texts, pa.string()), "e": pa.array([f[1] for f in found], pa.string()), "d": pa.array([f[0] for f in found], pa.int32())})
-
-        each = asked.groupBy("shard", "block").cogroup(mine.groupBy("shard", "block")).applyInArrow(shard, schema)
-        best = each.groupBy("q").agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "e"))).alias("m")).select("q", F.col("m.e").alias("e"), F.col("m.d").alias("d"))
+        found = sharded(q.withColumn("most", F.lit(most)), r, 1, shard_rows)
+        best = q.join(found, "q", "left").select("q", F.get("found", F.lit(0))["e"].alias("e"), F.get("found", F.lit(0))["d"].alias("d"))
     return best.select(F.col("q").alias("query"), F.col("e").alias("entry"), F.col("d").alias("distance"))

@@ -19,14 +19,15 @@ from pyspark.sql.functions import arrow_udf
 
 from stemline.session import spread
 
-#: Letters drawn alike in another alphabet, and the Latin letter that stands for them.
+#: Letters drawn alike in another alphabet (Greek, Coptic, Cyrillic, Armenian, Cherokee, Lisu, letter-like
+#: numerals), and the Latin letter that stands for them.
 LOOKALIKES = {
-    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ",
-    "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "νѵ", "w": "ԝ", "x": "х", "y": "у",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ",
-    "J": "ЈͿ", "K": "КΚK", "M": "МΜ", "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ",
-    "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ",
-    "æ": "ӕ", "Æ": "Ӕ", "Ð": "ĐƉ",
+    "a": "аɑ", "c": "сϲⲥⅽ", "d": "ԁⅾᏧ", "e": "е", "g": "ɡց", "h": "һհᏂ", "i": "іⅰᎥ", "j": "јϳ", "l": "ӏⅼ",
+    "m": "ⅿ", "n": "ո", "o": "оοօⲟ", "p": "рρⲣ", "q": "ԛզ", "s": "ѕ", "u": "սυ", "v": "νѵⅴ", "w": "ԝ", "x": "хⅹ", "y": "у",
+    "A": "АΑᎪꓮⲀ", "B": "ВΒᏴꓐⲂ", "C": "СϹᏟꓚⲤⅭ", "D": "ᎠꓓⅮ", "E": "ЕΕᎬꓰⲈ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧⲎ",
+    "I": "ІΙӀⲒⅠꓲ", "J": "ЈͿᎫꓙ", "K": "КΚKᏦꓗⲔ", "L": "ԼᏞꓡⅬⳐ", "M": "МΜᎷꓟⲘⅯ", "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ",
+    "Q": "Ԛ", "R": "ᎡꓣᏒ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔⲦ", "U": "Սꓴ", "V": "ѴᏙꓦⅤ", "W": "ԜᎳꓪ", "X": "ХΧꓫⲬⅩ",
+    "Y": "УΥҮꓬⲨ", "Z": "ΖᏃꓜⲌ", "æ": "ӕ", "Æ": "Ӕ", "Ð": "ĐƉ",
 }
 #: Hyphens of every kind, and signs without ink that are not of the format category.
 HYPHENS = "‐‑‒−﹣－֊⁃"
@@ -66,7 +67,7 @@ class _Tables:
                     return [x for p in parts for x in plain(int(p, 16))]
             return [alike.get(c, c)]
 
-        for c in [*range(0x80), *(x for x in range(0x80, 0x30000) if unicodedata.category(chr(x)) not in ("Cn", "Co", "Cs", "Lo") or unicodedata.decomposition(chr(x)) or chr(x) in INKLESS), *range(0xE0000, 0xE01F0)]:
+        for c in [*range(0x80), *(x for x in range(0x80, 0x30000) if unicodedata.category(chr(x)) not in ("Cn", "Co", "Cs", "Lo") or x in alike or unicodedata.decomposition(chr(x)) or chr(x) in INKLESS), *range(0xE0000, 0xE01F0)]:
             to = plain(c)
             self.ccc[c] = unicodedata.combining(chr(c))
             if len(to) == 1:
@@ -227,6 +228,25 @@ def alike_pairs(df: DataFrame, id_col: str, within: list[str], text_col: str) ->
     return j.select(F.least("id", "id1").alias("id_a"), F.greatest("id", "id1").alias("id_b")).distinct()
 
 
+def alike_classes(df: DataFrame, id_col: str, within: list[str], text_col: str) -> DataFrame:
+    """``id, class_id, spellings, links``: each row with the class of rows whose texts look like its own.
+
+    ``class_id`` is the smallest id of the class, ``spellings`` how many texts it holds, ``links`` how many of its rows are spelled
+    otherwise than this one. Rows of equal spelling are counted before their classes are, so no class is ever together in a
+    task, and a class of any size costs its rows only. Null ids, texts or ``within`` values are left out; a row repeated whole
+    counts once.
+    """
+    keys = [f"k{i}" for i in range(len(within))]
+    base = spread(df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[F.col(c).alias(k) for c, k in zip(within, keys)], F.col(text_col).alias("t")))
+    for k in keys:
+        base = base.where(F.col(k).isNotNull())
+    rows = base.distinct().withColumn("form", consistent_form("t"))
+    spelled = rows.groupBy(*keys, "form", "t").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    classes = spelled.groupBy(*keys, "form").agg(F.sum("n").alias("all"), F.min("first").alias("class_id"), F.count(F.lit(1)).alias("spellings"))
+    told = spelled.join(classes, [*keys, "form"]).select(*keys, "form", "t", "class_id", "spellings", (F.col("all") - F.col("n")).alias("links"))
+    return rows.join(told, [*keys, "form", "t"]).select("id", "class_id", "spellings", "links")
+
+
 def consistent_series(s: pd.Series) -> pd.Series:
     """For small tables outside Spark."""
     return pd.Series(consistent(pa.array(s, pa.string())).to_pandas(), index=s.index)

@@ -2,7 +2,8 @@
 
 Items are packed best-fit decreasing, a partition at a time.  Dual feasible functions give a lower bound for each
 partition's bins and for the whole; partitions above their bound exchange their documents, the others give up their
-emptiest bin, and what was given up is packed again, as long as that saves bins and the whole is above its bound.
+emptiest bin, and what was given up is packed again, for as long as a round saves bins worth it and the whole is above
+its bound.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from stemline.session import cut, partitions_for
 
 CAPACITY = 2048
 ITEMS_PER_PARTITION = 30_000
-ROUNDS = 4
+#: A round must save so much of what is still above the bound for another to follow.
+LEAST_GAIN = 0.05
 
 
 def best_fit_decreasing(size: np.ndarray, capacity: int) -> np.ndarray:
@@ -86,9 +88,12 @@ def _packed(items: DataFrame, parts: int, seed: int, capacity: int, id_col: str)
     return items.select(id_col, "piece", "size", part).groupBy("part").applyInPandas(pack, schema)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", per_partition: int = ITEMS_PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", per_partition: int = ITEMS_PER_PARTITION, least_gain: float = LEAST_GAIN) -> DataFrame:
     """``id_col, piece, size, container``: every item in one container, none above the capacity.
 
+    Rounds of repacking go on until the whole is at its bound, a round saves nothing, or it saves less than ``least_gain`` of
+    the containers above the bound (0: as long as one is saved).
+
     Defined cases: items of size 0 (null or empty texts) are placed like any other; null sizes must be 0 already; rows
     repeating an item are items of their own; ties of size go by id; an empty table gives no rows.
     """
@@ -109,7 +114,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", per
         s = loose.agg(
             F.sum("bins").alias("bins"), F.count(F.lit(1)).alias("parts"), F.sum(F.when(gap, F.col("n")).otherwise(F.col("k"))).alias("given"), F.sum(F.when(gap, F.col("bins")).otherwise(1)).alias("freed")
         ).first()
-        if not total or settled + s["bins"] <= least or s["parts"] <= 1 or level >= rounds:
+        if not total or settled + s["bins"] <= least or s["parts"] <= 1:
             break
         give = (F.col("bins") > F.col("bound")) | F.col("loose")
         again = cut(_packed(now.where(give).select(id_col, "piece", "size"), max(1, -(-int(s["given"]) // per_partition)), level + 1, capacity, id_col))
@@ -119,6 +124,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", per
         kept.append(now.where(~give).withColumn("level", F.lit(level)))
         settled += int(s["bins"] - s["freed"])
         now, level = again, level + 1
+        if int(s["freed"]) - used < least_gain * (settled + used - least):
+            break
     out = now.withColumn("level", F.lit(level))
     for k in kept:
         out = out.unionByName(k)
@@ -126,5 +133,25 @@ def pack(items: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", per
     return out.select(id_col, "piece", "size", number.alias("container"))
 
 
+def report(packed: DataFrame, items: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
+    """One row on a packing: ``containers``, their ``bound``, ``overfull`` ones, and ``lost``, ``doubled`` and ``altered`` items; the last four are 0."""
+    spark = packed.sparkSession
+    histogram = np.zeros(capacity + 1, np.int64)
+    for r in items.groupBy("size").count().collect():  # at most capacity + 1 rows
+        histogram[r["size"]] = r["count"]
+    bins = packed.groupBy("container").agg(F.sum("size").alias("fill")).agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum((F.col("fill") > capacity).cast("long")), F.lit(0)).alias("overfull"))
+    key = [id_col, "piece", "size"]
+    want, have = items.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), packed.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
+    j = want.join(have, key, "full").agg(
+        F.coalesce(F.sum(F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0))), F.lit(0)).alias("lost"),
+        F.coalesce(F.sum(F.greatest(F.col("m") - F.col("n"), F.lit(0))), F.lit(0)).alias("doubled"),
+        F.coalesce(F.sum(F.when(F.col("n").isNull(), F.col("m"))), F.lit(0)).alias("altered"),
+    )
+    bound = spark.range(1).select(F.lit(lower_bound(histogram, capacity)).cast("long").alias("bound"))
+    one = F.lit(1)  # three rows of one table each, joined by a constant
+    parts = [d.withColumn("__k", one) for d in (bins, bound, j)]
+    return parts[0].join(parts[1], "__k").join(parts[2], "__k").drop("__k")
+
+
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str = bpe.DEFAULT) -> DataFrame:
     return pack(items_of(bpe.count_column(documents, path=path), capacity), capacity)

@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from stemline.llm import aliases, bktree, bpe, lookalike, packing, reading, survivor
-from stemline.session import table
+from stemline.session import cut, table
 
 ETY_KEY, ETY_FIELDS = ["word_id", "ordinal"], ["label", "pos_list", "shape", "confidence", "gloss"]
 
@@ -24,6 +24,13 @@ def p2_forms(spark: SparkSession, sf: str) -> DataFrame:
     return n.unionByName(t)
 
 
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row with its class of equal-looking texts and the number of rows in it that are spelled otherwise."""
+    n = lookalike.alike_classes(table(spark, sf, "descendant_node"), "node_id", ["tree_id", "lang"], "term")
+    t = lookalike.alike_classes(table(spark, sf, "descendant_tree"), "tree_id", ["lang"], "raw_term")
+    return n.select(F.lit("descendant_node").alias("tab"), "*").unionByName(t.select(F.lit("descendant_tree").alias("tab"), "*"))
+
+
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
     ranked = survivor.ranked_sources(table(spark, sf, "sources"), table(spark, sf, "source_precedence"))
     return survivor.long_claims(table(spark, sf, "etymology"), ETY_KEY, ETY_FIELDS, ranked)
@@ -69,6 +76,13 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy((F.floor(F.col("tokens") * 100 / packing.CAPACITY)).alias("percent")).agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"))
 
 
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers and their lower bound, and what must not be: overfull ones, lost, doubled or altered items."""
+    items = packing.items_of(bpe.count_column(table(spark, sf, "documents")), packing.CAPACITY)
+    items = cut(items)
+    return packing.report(cut(packing.pack(items)), items)
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return aliases.match_aliases(table(spark, sf, "language_alias"), table(spark, sf, "languages"))
 
@@ -98,5 +112,5 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
     return p10_found(spark, sf).join(d, "doc_id").groupBy("level", "kind").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("characters"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p4_found, p4_report, p4_nearest, p6_found, p6_records, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p4_found, p4_report, p4_nearest, p6_found, p6_records, p8_ids, p9_containers, p9_fill, p9_report, p10_found, p10_profile)}
 SQL = {"p6_found": P6_SQL}

@@ -11,16 +11,17 @@ from functools import reduce
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-#: What only says that nothing is known or given, without signs, blanks and case.
-NOTHING = ("na", "none", "null", "nil", "nan", "tbd", "tba", "tbc", "unknown", "notknown", "notgiven", "notavailable", "notapplicable", "missing", "undefined", "unspecified", "nodata", "novalue", "nothing", "empty", "pending", "todo")
+#: What only says that nothing is known or given, without signs, blanks and case. Words that a text may
+#: well mean, such as "nothing" or "empty", are not among them; ``nothing`` gives a field other ones.
+NOTHING = ("na", "none", "null", "tbd", "tba", "tbc", "unknown", "notknown", "notgiven", "notavailable", "notapplicable", "unspecified", "nodata", "novalue")
 KINDS = ("curated", "extract", "derived")
 HALF_LIFE_DAYS = 365.0
 
 
-def has_value(c: Column) -> Column:
+def has_value(c: Column, nothing: tuple[str, ...] = NOTHING) -> Column:
     """Not null, not blank, not bare signs, not a word for nothing."""
     bare = F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-    return F.coalesce((bare != "") & ~bare.isin(*NOTHING), F.lit(False))
+    return F.coalesce((bare != "") & ~bare.isin(*nothing), F.lit(False))
 
 
 def normalised(c: Column) -> Column:
@@ -36,8 +37,11 @@ def ranked_sources(sources: DataFrame, precedence: DataFrame) -> DataFrame:
     return s.join(p, "source_id", "full").select("source_id", (F.coalesce("additive_only", F.lit(0)) == 1).alias("barred"), "priority", rank.alias("kind_rank"))
 
 
-def long_claims(claims: DataFrame, key: list[str], fields: list[str], ranked: DataFrame, id_col: str = "ety_id") -> DataFrame:
-    """One row per claim and field: ``key, field, value`` (null where there is none), the claim's id and its standing."""
+def long_claims(claims: DataFrame, key: list[str], fields: list[str], ranked: DataFrame, id_col: str = "ety_id", nothing: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """One row per claim and field: ``key, field, value`` (null where there is none), the claim's id and its standing.
+
+    ``nothing`` gives fields their own words for no value, in lower case, letters and digits only.
+    """
     r = ranked.withColumnRenamed("source_id", "__source")
     c = claims.select(*key, F.col(id_col).alias("__id"), F.col("source_id").alias("__of"), "recorded_at", *fields)
     c = c.join(r, F.col("__of") == F.col("__source"), "left")
@@ -48,9 +52,10 @@ def long_claims(claims: DataFrame, key: list[str], fields: list[str], ranked: Da
         F.coalesce(F.unix_micros(F.col("recorded_at").cast("timestamp")), F.lit(-(2**62))).alias("at"),
         (-F.col("__id")).alias("id"),
     )
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("cell")
+    told = lambda f: F.when(has_value(F.col(f).cast("string"), (nothing or {}).get(f, NOTHING)), F.col(f).cast("string"))
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), told(f).alias("value")) for f in fields])).alias("cell")
     rows = c.select(*key, "__id", "priority", "kind_rank", "recorded_at", F.coalesce("barred", F.lit(False)).alias("barred"), stand.alias("standing"), cells)
-    given = has_value(F.col("cell.value")) & ~F.col("barred")
+    given = F.col("cell.value").isNotNull() & ~F.col("barred")
     return rows.select(*key, F.col("cell.field").alias("field"), F.when(given, F.col("cell.value")).alias("value"), F.when(given, F.col("standing")).alias("standing"), F.col("__id").alias("id"), "priority", "kind_rank", "recorded_at")
 
 

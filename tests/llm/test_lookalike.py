@@ -19,6 +19,11 @@ def test_alike(a, b):
     assert form(a) == form(b)
 
 
+@pytest.mark.parametrize("a, b", [*zip("ոհՍԼցզᎪꓮⲟⅼυ", "nhULgqAAolu"), ("ᏢᎪᎢ", "PAT"), ("ΰ", "ΰ"), ("νυ", "vu"), ("ύ", "ú")])
+def test_further_alphabets(a, b):
+    assert form(a) == form(b)
+
+
 @pytest.mark.parametrize("a, b", [("a", "A"), ("a", "á"), ("l", "ł"), ("o", "ø"), ("h₁", "h1"), ("kʷ", "kw"), ("ab", "a b"), ("a-b", "ab"), ("ȩ́", "é"), ("m", "rn"), ("0", "o")])
 def test_different(a, b):
     assert form(a) != form(b)
@@ -46,3 +51,13 @@ def test_pairs(spark):
     expected = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] and a[1] == b[1] and a[2] and b[2] and a[2] != b[2] and form(a[2]) == form(b[2])}
     assert got == expected == {(1, 2), (2, 5), (1, 8), (2, 8), (5, 8)}
     assert lookalike.alike_pairs(df.limit(0), "id", ["lang"], "t").count() == 0
+
+
+def test_classes(spark):
+    rows = [(1, "L", "pad"), (2, "L", "раԁ"), (3, "L", "pád"), (4, "M", "раԁ"), (5, "L", "pad"), (6, "L", None), (7, None, "раԁ"), (8, "L", "pa​d"), (8, "L", "pa​d"), (None, "L", "pad")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "id long, lang string, t string, form string")
+    got = {tuple(r) for r in lookalike.alike_classes(df, "id", ["lang"], "t").collect()}
+    assert got == {(1, 1, 3, 2), (2, 1, 3, 3), (5, 1, 3, 2), (8, 1, 3, 3), (3, 3, 1, 0), (4, 4, 1, 0)}
+    pairs = lookalike.alike_pairs(df, "id", ["lang"], "t").count()
+    assert sum(links for *_, links in got) == 2 * pairs
+    assert lookalike.alike_classes(df.limit(0), "id", ["lang"], "t").count() == 0

@@ -4,14 +4,14 @@ from itertools import product
 import pytest
 
 from stemline.llm import aliases, survivor
-from stemline.llm.bktree import BKTree, distance, nearest
+from stemline.llm.bktree import BKTree, distance, nearest, sharded
 
 LIST = [(1, "English", "eng"), (2, "Old English", "ang"), (3, "Proto-Kalidonic", "kal-pro"), (4, "Kalidonic", None), (5, "Southern Velumarish", "svl"), (6, "Velumarish", "vel"), (7, "Middle Torakese", "mto")]
 
 
 @pytest.fixture(scope="module")
 def matcher():
-    return aliases.Matcher(LIST)
+    return aliases.Matcher(aliases.Listed(LIST))
 
 
 @pytest.mark.parametrize(
@@ -35,6 +35,15 @@ def test_match_aliases(spark):
     assert aliases.match_aliases(al.limit(0), lang).count() == 0
 
 
+def test_a_list_never_held_gives_the_same(spark):
+    """Codes and names by joins, stems in shards: as the matcher that holds the whole list."""
+    lang = spark.createDataFrame(LIST, "lang_id int, name string, wikt_code string")
+    texts = ["englsih", "O. English", "English (old)", "the Old Englihs tongue", "Middle English", "Kalid.", "protokalidonic", "KAL-PRO", "svl – Southern Velumarish", "svm", "m. torak.", "Gukonashar", "", None]
+    al = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "alias_id long, alias string, lang_id int")
+    whole = aliases.Matcher(aliases.Listed(LIST))
+    assert {tuple(r) for r in aliases.match_aliases(al, lang, most_held=3).collect()} == {(k, whole.match(t)) for k, t in enumerate(texts)}
+
+
 def test_distance_is_a_metric():
     assert distance("ca", "abc") == 2 and distance("abcd", "abdc") == 1 and distance("", "ab") == 2
     words = ["".join(p) for n in range(4) for p in product("abc", repeat=n)]
@@ -53,18 +62,18 @@ def test_tree_finds_all_within():
             assert tree.within(q, most) == sorted((distance(q, w), w) for w in set(words) if distance(q, w) <= most)
 
 
-def test_shards_agree_with_the_whole(spark, monkeypatch):
-    from stemline.llm import bktree
-
+def test_shards_agree_with_the_whole(spark):
     r = random.Random(3)
     words = ["".join(r.choice("abcd") for _ in range(r.randint(2, 7))) for _ in range(120)]
     ref = spark.createDataFrame([(w,) for w in words] + [(None,)], "e string")
     q = spark.createDataFrame([(w[1:] + "a",) for w in words[:30]] + [("zzzzzzzz",), (None,)], "q string")
     whole = {tuple(x) for x in nearest(q, "q", ref, "e", 2).collect()}
-    monkeypatch.setattr(bktree, "SHARD_ROWS", 40)
-    assert {tuple(x) for x in nearest(q, "q", ref, "e", 2).collect()} == whole
+    assert {tuple(x) for x in nearest(q, "q", ref, "e", 2, shard_rows=15).collect()} == whole
     tree = BKTree(words)
     assert all((e, d) == (tree.within(t, 2)[0][::-1] if tree.within(t, 2) else (None, None)) for t, e, d in whole)
+    asked = q.where("q IS NOT NULL").distinct().selectExpr("q", "2 AS most")
+    for x in sharded(asked, ref.where("e IS NOT NULL").distinct(), 3, shard_rows=15, block_queries=4).collect():
+        assert [tuple(f) for f in x.found] == tree.within(x.q, 2)[:3]
 
 
 CLAIM = "ety_id long, word_id long, ordinal int, label string, gloss string, source_id int, recorded_at timestamp, id string"
@@ -87,5 +96,7 @@ def test_survivors(spark):
     assert got == {(1, 1, "label"): 1, (1, 1, "gloss"): 2, (3, None, "label"): 7, (3, None, "gloss"): 7, (5, 1, "label"): 13}
     rec = {r.word_id: (r.label, r.gloss) for r in survivor.records(survivor.by_votes(long, ["word_id", "ordinal"]), ["word_id", "ordinal"], ["label", "gloss"]).collect()}
     assert rec[1] == ("a", "g") and rec[3] == ("later", "x") and rec[2] == ("only", None) and 4 not in rec
+    words = survivor.long_claims(spark.createDataFrame([(1, 1, 1, "Na", "nothing", 1, None, "x"), (2, 1, 1, None, "n/a", 1, None, "x")], CLAIM), ["word_id", "ordinal"], ["label", "gloss"], survivor.ranked_sources(sources, order), nothing={"label": ("unknown",)})
+    assert {(r.field, r.value) for r in survivor.by_precedence(words, ["word_id", "ordinal"]).collect()} == {("label", "Na"), ("gloss", "nothing")}
     empty = survivor.long_claims(claims.limit(0), ["word_id", "ordinal"], ["label"], survivor.ranked_sources(sources.limit(0), order))
     assert survivor.by_precedence(empty, ["word_id", "ordinal"]).count() == 0 == survivor.by_votes(empty, ["word_id", "ordinal"]).count()

@@ -108,4 +108,6 @@ def test_packing(spark):
         bound = packing.lower_bound(np.bincount([x.size for x in out], minlength=101), 100)
         assert bound <= len(fill) <= bound * 1.02 + 3
     assert packing.pack(items.limit(0), 100).count() == 0
+    told = packing.report(packing.pack(items, 100, per_partition=40, least_gain=0.0), items, 100).first()
+    assert told.containers >= told.bound and (told.overfull, told.lost, told.doubled, told.altered) == (0, 0, 0, 0)
     assert len({x.container for x in packing.pack(items.where("size = 0"), 100).collect()}) == 1
