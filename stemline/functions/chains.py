@@ -8,7 +8,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from stemline.functions.classify import CORE, DONOR_RELS, NATIVE_RELS, UNINFORMATIVE, is_english_stage
+from stemline.functions.classify import CORE, DEPTH_HINT, DONOR_RELS, NATIVE_RELS, NO_LANGUAGE, PLACEHOLDERS, UNINFORMATIVE, depth_hint, family_of, is_english_stage, lookup
 
 MODES = ("direct", "influence", "root")
 
@@ -18,12 +18,12 @@ def without_repeats(steps: Column) -> Column:
     return F.filter(steps, lambda s, i: (i == 0) | ~(s["lang"].eqNullSafe(F.get(steps, i - 1)["lang"]) & s["term"].eqNullSafe(F.get(steps, i - 1)["term"])))
 
 
-def donor_steps(steps: Column, excluded: tuple[str, ...] = ("", "und", "mul")) -> Column:
+def donor_steps(steps: Column, excluded: tuple[str, ...] = NO_LANGUAGE) -> Column:
     """Steps with a language that counts; placeholders for terms become null; what leads to PIE is a root citation."""
     kept = F.filter(steps, lambda s: s["lang"].isNotNull() & ~s["lang"].isin(*excluded))
     fixed = F.transform(
         kept,
-        lambda s: s.withField("term", F.when(s["term"].isin("-", "", "?", "..."), F.lit(None)).otherwise(s["term"])).withField("rel", F.when(s["bucket"] == "PIE", F.lit("root")).otherwise(s["rel"])),
+        lambda s: s.withField("term", F.when(s["term"].isin(*PLACEHOLDERS), F.lit(None)).otherwise(s["term"])).withField("rel", F.when(s["bucket"] == "PIE", F.lit("root")).otherwise(s["rel"])),
     )
     return without_repeats(fixed)
 
@@ -145,12 +145,16 @@ def root_name(record: Column) -> Column:
     return F.when(record["root_pie"], F.concat(record["root_lang"], F.lit(" (from PIE)"))).otherwise(record["root_lang"])
 
 
-def is_reliable_root(chain: Column, root_lang: Column, hubs: tuple[str, ...] = ()) -> Column:
-    """Not one of the hubs, and not an uncommon group first with common ones behind it."""
+#: Words that many others are built on in another sense than their own answer has.
+HUBS = ("logy", "poly")
+
+
+def is_reliable_root(chain: Column, word: Column, hubs: tuple[str, ...] = HUBS) -> Column:
+    """May a word's chain be handed on: the word is none of the hubs, and no uncommon group comes first with common ones behind it."""
     first = F.get(chain, F.lit(0))
     back = F.exists(F.slice(chain, F.lit(2), F.greatest(F.size(chain) - 1, F.lit(0))), lambda b: b.isin(*CORE))
     odd = ~first.isin(*CORE) & back
-    return ~F.coalesce(root_lang.isin(*hubs) if hubs else F.lit(False), F.lit(False)) & ~F.coalesce(odd, F.lit(False))
+    return ~F.coalesce(word.isin(*hubs) if hubs else F.lit(False), F.lit(False)) & ~F.coalesce(odd, F.lit(False))
 
 
 def usable(record: Column) -> Column:
@@ -158,16 +162,16 @@ def usable(record: Column) -> Column:
     return F.coalesce((F.size(record["chain"]) > 0) & (record["prox_kind"] != "root"), F.lit(False))
 
 
-def by_depth(steps: Column, hint: str = "era_start") -> Column:
-    """Youngest first, stable; steps without an era keep to the end."""
-    keyed = F.transform(steps, lambda s, i: F.struct((-F.coalesce(s[hint], F.lit(-99999))).alias("k"), i.alias("i"), s.alias("s")))
+def by_depth(steps: Column) -> Column:
+    """Nearest to the present first by the depth hint of the language, stable."""
+    keyed = F.transform(steps, lambda s, i: F.struct(depth_hint(s["lang"]).alias("k"), i.alias("i"), s.alias("s")))
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
 def guarded_by_depth(steps: Column) -> Column:
-    """Sorted by depth only within one family and with all eras known; else as they stand."""
-    families = F.array_distinct(F.transform(steps, lambda s: s["bucket"]))
-    known = F.forall(steps, lambda s: s["era_start"].isNotNull())
+    """Sorted by depth only within one family and with all languages in the hint; else as they stand."""
+    families = F.array_distinct(F.transform(steps, lambda s: family_of(s["bucket"])))
+    known = F.forall(steps, lambda s: lookup(DEPTH_HINT, s["lang"]).isNotNull() & family_of(s["bucket"]).isNotNull())
     return F.when((F.size(families) <= 1) & known, by_depth(steps)).otherwise(steps)
 
 

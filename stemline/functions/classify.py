@@ -20,15 +20,61 @@ STAGE_QUALIFIERS = ("Northern", "Southern", "Eastern", "Western", "Midland", "An
 PIE_NAMES = ("Proto-Indo-European", "PIE")
 DONOR_RELS = ("inherited", "borrowed", "derived", "formed_from")
 NATIVE_RELS = ("inherited", "derived")
-#: Relation of each template name.
+#: Templates by the relation they state; others that lead to an ancestor state that a word is derived.
+INHERITING = ("inh", "uinh", "inh+")
+DERIVING = ("der", "uder", "der+")
+BORROWING = ("bor", "ubor", "bor+", "lbor", "slbor", "obor")
+CALQUING = ("cal", "calque", "clq")
 TEMPLATE_RELS = {
-    "inh": "inherited", "inh+": "inherited", "inherited": "inherited", "bor": "borrowed", "bor+": "borrowed", "borrowed": "borrowed", "lbor": "borrowed", "slbor": "borrowed",
-    "ubor": "borrowed", "obor": "borrowed", "der": "derived", "der+": "derived", "derived": "derived", "uder": "derived", "cal": "calque", "clq": "calque", "calque": "calque",
-    "root": "root",
+    **dict.fromkeys(INHERITING, "inherited"), **dict.fromkeys(DERIVING, "derived"), **dict.fromkeys(BORROWING, "borrowed"), **dict.fromkeys(CALQUING, "calque"), "root": "root",
 }
-
-
-def lookup(mapping: dict[str, str], key: Column, default: str | None = None) -> Column:
+#: Codes that are no single language, and what stands for a form that is not recorded.
+NO_LANGUAGE = ("mul", "mul-tax")
+PLACEHOLDERS = ("-", "")
+#: The broad lineage of each group.
+FAMILIES = {
+    "Germanic": "germanic", "Norse": "germanic", "Latin": "italic", "French": "italic", "Romance (other)": "italic", "Greek": "hellenic", "Celtic": "celtic", "Slavic": "slavic",
+    "Indo-Iranian": "indo-iranian", "Iranian": "indo-iranian", "Semitic": "semitic", "Turkic": "turkic", "East Asian": "east-asian", "Austronesian": "austronesian",
+    "Indigenous American": "amerind", "Caribbean": "caribbean", "Afro-Asiatic (other)": "afro-asiatic", "African (other)": "african", "PIE": "pie",
+}
+#: Groups of the three-letter and older codes, for tables that name languages by them.
+CODE_BUCKETS = {
+    **dict.fromkeys(("ang", "enm", "eng", "gem", "gem-pro", "p_gem", "p_gmw", "gmw-pro", "deu", "goh", "gmh", "nld", "dum", "gml", "osx", "frk", "got"), "Germanic"),
+    **dict.fromkeys(("non", "isl", "swe", "dan", "nor"), "Norse"),
+    **dict.fromkeys(("lat", "la-vul", "la-med"), "Latin"),
+    **dict.fromkeys(("fra", "fro", "frm", "xno"), "French"),
+    **dict.fromkeys(("ita", "spa", "por", "ron", "cat", "oci", "roa-opt"), "Romance (other)"),
+    **dict.fromkeys(("grc", "ell"), "Greek"),
+    **dict.fromkeys(("fas", "pal", "peo"), "Iranian"),
+    **dict.fromkeys(("cel", "gla", "gle", "cym", "bre"), "Celtic"),
+    **dict.fromkeys(("ine", "ine-pro", "p_ine"), "PIE"),
+}
+#: Names of families and of codes that no registry of single languages has.
+FAMILY_CODES = {
+    "alg": "Algonquian", "alg-eas": "Eastern Algonquian", "trk-pro": "Proto-Turkic", "gmw-msc": "Middle Scots", "nan-tws": "Teochew", "trk": "Turkic", "cel-bry": "Brythonic",
+    "azc-nah": "Nahuan", "sem": "Semitic", "roa": "Romance", "tup": "Tupian", "bnt": "Bantu", "dra": "Dravidian", "ira": "Iranian", "ath": "Athabaskan", "aav": "Austroasiatic",
+    "iro": "Iroquoian", "sio": "Siouan", "mus": "Muskogean", "sla": "Slavic", "gem": "Germanic", "cel": "Celtic", "ine": "Indo-European", "itc": "Italic", "grk": "Hellenic",
+    "inc": "Indo-Aryan", "iir": "Indo-Iranian", "urj": "Uralic", "map": "Austronesian", "nic": "Niger-Congo", "afa": "Afro-Asiatic", "cus": "Cushitic", "ber": "Berber",
+    "tut": "Altaic", "khi": "Khoisan", "paa": "Papuan", "aus": "Australian", "nai": "Native American", "sai": "South American Indian", "cai": "Central American Indian",
+    "crp": "Creole", "art": "Constructed",
+}
+#: Fixed value: how far back a language lies, English stages before any foreign one. Orders separate groups and diagrams; eras order steps.
+DEPTH_HINT = {
+    **dict.fromkeys(("Middle English", "English", "Scots"), 0),
+    "Old English": 1,
+    **dict.fromkeys(("French", "German", "Dutch", "Irish", "Modern Greek"), 10),
+    **dict.fromkeys(("Middle French", "Middle High German", "Middle Low German", "Middle Dutch", "Middle Irish", "New Latin", "Byzantine Greek", "Medieval Greek"), 11),
+    **dict.fromkeys(("Old French", "Anglo-Norman", "Norman", "Old Northern French", "Old Norse", "Old High German", "Old Saxon", "Old Dutch", "Old Frisian", "Old Irish", "Medieval Latin"), 12),
+    **dict.fromkeys(("Late Latin", "Vulgar Latin", "Koine Greek"), 13),
+    **dict.fromkeys(("Latin", "Ancient Greek"), 14),
+    **dict.fromkeys(("Proto-West Germanic", "Proto-Italic", "Proto-Celtic", "Proto-Slavic", "Sanskrit"), 15),
+    "Proto-Germanic": 16,
+    "Proto-Indo-European": 18,
+}
+NO_HINT = 10
+
+
+def lookup(mapping: dict, key: Column, default=None) -> Column:
     """A small fixed map as an expression."""
     m = F.create_map(*[F.lit(x) for x in _flat.from_iterable(mapping.items())])
     found = F.try_element_at(m, key)
@@ -41,6 +87,21 @@ def bucket_order(bucket: Column) -> Column:
     return F.when(at > 0, at).otherwise(999)
 
 
+def family_of(bucket: Column) -> Column:
+    """The broad lineage of a group; null for those that have none."""
+    return lookup(FAMILIES, bucket)
+
+
+def bucket_of_code(code: Column) -> Column:
+    """The group of a fixed code; a code that is not listed is unknown, not other."""
+    return lookup(CODE_BUCKETS, code, "Unknown")
+
+
+def depth_hint(name: Column) -> Column:
+    """How far back a language lies; what is not listed lies among the foreign ones nearest to the present."""
+    return lookup(DEPTH_HINT, name, NO_HINT)
+
+
 def is_english_stage(name: Column) -> Column:
     """A stage of English itself, with at most one dialect's name before it; not a language named after English."""
     stages = "|".join(sorted(ENGLISH_STAGES, key=len, reverse=True))
@@ -82,6 +143,13 @@ def display_name(df: DataFrame, code: str, languages: DataFrame, registry: DataF
     return d.withColumn(out, F.coalesce(*names, F.col(code))).drop("__n1", "__n2")
 
 
+def resolved_names(df: DataFrame, column: str, registry: DataFrame, out: str = "name") -> DataFrame:
+    """What a column of names and codes means: the name of a family code, else the registered name (``code, name``), else the value itself."""
+    reg = registry.where("code IS NOT NULL AND name IS NOT NULL").groupBy(F.trim("code").alias("__c")).agg(F.min("name").alias("__n"))
+    key = F.trim(F.col(column))
+    return df.join(reg, key == F.col("__c"), "left").withColumn(out, F.coalesce(lookup(FAMILY_CODES, key), F.col("__n"), F.col(column))).drop("__c", "__n")
+
+
 def find_language(df: DataFrame, key: str, languages: DataFrame, out: str = "lang_id") -> DataFrame:
     """By code first, then by name without case."""
     by_code = languages.where(F.col("wikt_code").isNotNull()).groupBy(F.col("wikt_code").alias("__c")).agg(F.min("lang_id").alias("__i1"))

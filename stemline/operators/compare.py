@@ -1,8 +1,9 @@
 """Differences between two copies of a table (problem 7): hierarchical checksums.
 
 Both sides are reduced to one canonical row a key.  Keys are laid out by a hash, every small range of that line gets a
-count and an order-free checksum on either side, and ranges are bisected from the whole line downwards: only halves
-whose sums differ are split on, and only rows of differing leaves are joined and compared field by field.
+count and an order-free checksum on either side, these are summed up to the whole line once, and ranges are bisected from
+there downwards: only halves whose sums differ are split on, and only rows of differing leaves are joined and compared
+field by field.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def latest(df: DataFrame, key: Column, fields: dict[str, Column], at: Column) ->
 
 def _sums(side: DataFrame, fields: list[str], bits: int, name: str) -> DataFrame:
     place = F.shiftrightunsigned(F.col("h"), _BITS - bits)
-    checksum = F.xxhash64("key", *[F.coalesce(F.col(f).cast("string"), F.lit("\u0000")) for f in fields])
+    checksum = F.xxhash64("key", *[c for f in fields for c in (F.col(f).isNull(), F.col(f).cast("string"))])  # a null is told from every text
     return side.groupBy(place.alias("leaf")).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sum(checksum.cast("decimal(38,0)")).alias(f"c_{name}"))
 
 
@@ -49,19 +50,20 @@ def differences(old: DataFrame, new: DataFrame, fields: list[str], leaf_rows: in
     bits = min(40, max(0, (rows // leaf_rows).bit_length()))
     leaves = _sums(old, fields, bits, "old").join(_sums(new, fields, bits, "new"), "leaf", "full").na.fill(0, ["n_old", "n_new"])
     zero = F.lit(0).cast("decimal(38,0)")
-    leaves = cut(leaves.withColumn("c_old", F.coalesce("c_old", zero)).withColumn("c_new", F.coalesce("c_new", zero)))
-    depth, open_ = 0, leaves
-    while True:
-        # the sums of the ranges at this depth, of those whose parents differed
-        span = open_.withColumn("range", F.shiftrightunsigned("leaf", bits - depth) if depth < bits else F.col("leaf"))
-        bad = span.groupBy("range").agg(*[F.sum(c).alias(c) for c in ("n_old", "n_new", "c_old", "c_new")])
-        bad = bad.where((F.col("n_old") != F.col("n_new")) | (F.col("c_old") != F.col("c_new"))).select("range")
-        open_ = span.join(bad, "range", "left_semi").drop("range")
-        if depth >= bits:
-            break
-        depth = min(bits, depth + by)
-        if depth % (3 * by) == 0:
-            open_ = cut(open_)
+    leaves = leaves.withColumn("c_old", F.coalesce("c_old", zero)).withColumn("c_new", F.coalesce("c_new", zero))
+    # the sums of every range at every depth that is looked at, from the leaves upwards in one aggregation
+    depths = sorted({*range(0, bits, by), bits})
+    ranges = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(f"shiftrightunsigned(leaf, {bits - d})").alias("range")) for d in depths])).alias("r")
+    tree = leaves.select(ranges, "n_old", "n_new", "c_old", "c_new").groupBy("r").agg(*[F.sum(c).alias(c) for c in ("n_old", "n_new", "c_old", "c_new")])
+    tree = cut(tree.select("r.depth", "r.range", ((F.col("n_old") != F.col("n_new")) | (F.col("c_old") != F.col("c_new"))).alias("differs")))
+    # and downwards: a range is looked at only if the one it lies in differs
+    open_, before = None, 0
+    for d in depths:
+        here = tree.where(F.col("depth") == d).select("range", "differs")
+        if open_ is not None:
+            here = here.join(open_.select(F.col("range").alias("above")), F.expr(f"shiftrightunsigned(range, {d - before})") == F.col("above"), "left_semi")
+        open_, before = here.where("differs").select("range"), d
+    open_ = open_.select(F.col("range").alias("leaf"))
     leaf = F.shiftrightunsigned(F.col("h"), _BITS - bits)
     hit = open_.select("leaf")
     a = old.withColumn("leaf", leaf).join(hit, "leaf", "left_semi")

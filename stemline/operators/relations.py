@@ -18,21 +18,6 @@ BORROWED = ("borrowed_from", "learned_borrowing_from", "semi_learned_borrowing_f
 KINDS = {**{r: "borrowed" for r in BORROWED}, "derived_from": "derived", "inherited_from": "inherited", "has_root": "root"}
 MARKERS = ("group_derived_root", "group_related_root", "group_affix_root")
 NO_DONORS = ("Translingual",)
-#: Fixed value: how far back a language lies, English stages before any foreign one. Orders separate groups only; eras order steps.
-DEPTH_HINT = {
-    **dict.fromkeys(("Middle English", "English", "Scots"), 0),
-    "Old English": 1,
-    **dict.fromkeys(("French", "German", "Dutch", "Irish", "Modern Greek"), 10),
-    **dict.fromkeys(("Middle French", "Middle High German", "Middle Low German", "Middle Dutch", "Middle Irish", "New Latin", "Byzantine Greek", "Medieval Greek"), 11),
-    **dict.fromkeys(("Old French", "Anglo-Norman", "Norman", "Old Northern French", "Old Norse", "Old High German", "Old Saxon", "Old Dutch", "Old Frisian", "Old Irish", "Medieval Latin"), 12),
-    **dict.fromkeys(("Late Latin", "Vulgar Latin", "Koine Greek"), 13),
-    **dict.fromkeys(("Latin", "Ancient Greek"), 14),
-    **dict.fromkeys(("Proto-West Germanic", "Proto-Italic", "Proto-Celtic", "Proto-Slavic", "Sanskrit"), 15),
-    "Proto-Germanic": 16,
-    "Proto-Indo-European": 18,
-}
-NO_HINT = 10
-
 
 def expanded(rows: DataFrame, order: str = "pos") -> DataFrame:
     """``term_id, term, path, kind, lang, related``: ancestry rows in the order of their groups, groups within groups below their opener.
@@ -89,7 +74,7 @@ def records(rows: DataFrame, languages: DataFrame, order: str = "pos") -> DataFr
     eras = languages.groupBy(F.col("name").alias("lang")).agg(F.min("era_start").alias("era_start"), F.min("era_end").alias("era_end"))
     e = e.join(eras, "lang", "left").withColumn("item", F.element_at(F.split("path", "/"), 1))
     first = F.first("lang").over(Window.partitionBy("term_id", "item").orderBy(F.col("kind") == "root", "path"))
-    e = e.withColumn("depth", F.coalesce(classify.lookup(DEPTH_HINT, first), F.lit(NO_HINT)))
+    e = e.withColumn("depth", classify.depth_hint(first))
     step = F.struct("depth", "item", "path", "lang", F.col("related").alias("term"), F.col("kind").alias("rel"), "bucket", "era_start", "era_end")
     g = e.groupBy("term_id").agg(F.min("term").alias("term"), F.array_sort(F.collect_list(step)).alias("line"))
     english = lambda s: classify.is_english_stage(s["lang"])
@@ -98,7 +83,7 @@ def records(rows: DataFrame, languages: DataFrame, order: str = "pos") -> DataFr
     return chains.with_record(g, "foreign", "roots", "stages").select("term_id", "term", "record")
 
 
-def patched_stubs(records_: DataFrame, pointers: DataFrame, hubs: tuple[str, ...] = (), inflected: DataFrame | None = None) -> DataFrame:
+def patched_stubs(records_: DataFrame, pointers: DataFrame, hubs: tuple[str, ...] = chains.HUBS, inflected: DataFrame | None = None) -> DataFrame:
     """Bare roots and missing words take the record of the word they point at (``term, base, priority``), until nothing changes.
 
     A base without any record stands for the word it is an inflected form of (``inflected``: ``form, base``), else for the
@@ -117,12 +102,12 @@ def patched_stubs(records_: DataFrame, pointers: DataFrame, hubs: tuple[str, ...
         stems = stems.unionByName(lost.join(forms, "low").select("base", F.lit(-1).alias("place"), "stem"))
     stems = cut(stems)
     fresh = done
-    ok = F.coalesce(chains.is_reliable_root(F.col("record.chain"), F.col("record.root_lang"), hubs), F.lit(False))
+    ok = lambda word: F.coalesce(chains.is_reliable_root(F.col("record.chain"), F.col(word), hubs), F.lit(False))
     while True:
-        exact = fresh.where(ok).select(F.col("term").alias("base"), "record", F.coalesce("via", "term").alias("via"))
+        exact = fresh.where(ok("term")).select(F.col("term").alias("base"), "record", F.coalesce("via", "term").alias("via"))
         # the first stem with a record decides, even if that is then not reliable
         held = stems.join(done.select(F.col("term").alias("base")), "base", "left_anti").join(done.select(F.col("term").alias("stem"), "record", "via"), "stem")
-        held = held.groupBy("base").agg(F.min_by(F.struct("record", F.coalesce("via", "stem").alias("via")), F.struct("place", "stem")).alias("s")).select("base", "s.record", "s.via").where(ok)
+        held = held.groupBy("base").agg(F.min_by(F.struct("record", F.coalesce("via", "stem").alias("via"), "stem"), F.struct("place", "stem")).alias("s")).select("base", "s.record", "s.via", "s.stem").where(ok("stem")).drop("stem")
         step = links.join(done.select("term"), "term", "left_anti").join(exact.unionByName(held), "base")
         fresh = cut(step.groupBy("term").agg(F.min_by(F.struct("record", "via"), F.struct("priority", "base")).alias("s")).select("term", "s.record", "s.via"))
         if not fresh.take(1):

@@ -2,7 +2,8 @@
 
 Rows are first counted per (key, value), which combines before the shuffle and spreads a hot key over its values; exact
 sums, distinct counts, modes and percentiles then come from the weighted values.  Percentiles find the band of values
-that holds the rank (at most a few thousand bands a key, combined before the shuffle) and only then order that band.
+that holds the rank (bands follow the logarithm of the value and are combined before the shuffle), split it until it holds
+few distinct values, and only then put those in order.
 """
 
 from __future__ import annotations
@@ -18,13 +19,20 @@ def value_frequencies(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(value).alias("v")).groupBy("k", "v").agg(F.count(F.lit(1)).alias("w"))
 
 
+#: A band of at most so many distinct values is put in order; a larger one is split first.
+ORDERED = 10_000
+_PARTS = 256
+
+
 def _band(v: Column) -> Column:
-    """A number that never falls as the value rises, 64 bands for each doubling."""
+    """A number that never falls as the value rises: 64 bands for each doubling of the magnitude, however small or large that is."""
     x = v.cast("double")
-    return (F.signum(x) * F.floor(F.log2(F.lit(1.0) + F.abs(x)) * 64)).cast("int")
+    size = F.floor(F.log2(F.when((x != 0) & (F.abs(x) < float("inf")), F.abs(x)).otherwise(F.lit(1.0))) * 64) + 70_000
+    band = F.when(x == 0, 0).when(x == float("inf"), 1 << 20).when(x == -float("inf"), -(1 << 20)).otherwise(F.signum(x) * size)
+    return F.when(F.isnan(x), (1 << 20) + 1).otherwise(band).cast("int")
 
 
-def key_stats(df: DataFrame, key: str, value: str, percentiles: dict[str, float] | None = None) -> DataFrame:
+def key_stats(df: DataFrame, key: str, value: str, percentiles: dict[str, float] | None = None, ordered: int = ORDERED) -> DataFrame:
     """Per key: ``n`` rows, ``total``, ``mean``, ``highest``, ``distinct_values``, ``mode`` of a numeric value, and percentiles.
 
     ``percentiles`` maps column names to ranks in (0, 1]: the smallest value with at least that share of the key's
@@ -40,6 +48,7 @@ def key_stats(df: DataFrame, key: str, value: str, percentiles: dict[str, float]
         F.sum("w").alias("w"),
         F.sum(F.when(there, F.col("w"))).alias("nv"),
         F.sum(F.col("v").cast("decimal(19,0)") * F.col("w") if dict(df.dtypes)[value] in ("int", "bigint", "smallint", "tinyint") else F.col("v") * F.col("w")).alias("s"),
+        F.min("v").alias("lo"),
         F.max("v").alias("hi"),
         F.count("v").alias("d"),
         F.max(F.when(there, best)).alias("m"),
@@ -64,20 +73,36 @@ def key_stats(df: DataFrame, key: str, value: str, percentiles: dict[str, float]
     )
     if not percentiles:
         return out
-    p = _percentiles(f, bands, percentiles)
+    p = _percentiles(f, bands, percentiles, ordered)
     return out.join(p, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
 
 
-def _percentiles(f: DataFrame, bands: DataFrame, percentiles: dict[str, float]) -> DataFrame:
-    """``__k`` and a column a percentile: the bands that hold the ranks, then the order of the values in those bands only."""
-    b = bands.where(F.col("band").isNotNull()).select("k", "band", "nv")
+def _percentiles(f: DataFrame, bands: DataFrame, percentiles: dict[str, float], ordered: int = ORDERED) -> DataFrame:
+    """``__k`` and a column a percentile: the band that holds each rank, split while it has more than ``ordered`` values, then the order of the values in it."""
+    b = bands.where(F.col("band").isNotNull()).select("k", "band", "nv", "lo", "hi", "d")
     b = b.withColumn("below", F.sum("nv").over(Window.partitionBy("k").orderBy("band")) - F.col("nv")).withColumn("all", F.sum("nv").over(Window.partitionBy("k")))
     ranks = F.array(*[F.struct(F.lit(n).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("all") * F.lit(share))).cast("long").alias("rank")) for n, share in percentiles.items()])
-    held = F.filter(ranks, lambda r: (F.col("below") < r["rank"]) & (r["rank"] <= F.col("below") + F.col("nv")))
-    hit = b.select(F.col("k").alias("k2"), F.col("band").alias("band2"), "below", held.alias("ranks")).where(F.size("ranks") > 0)
-    within = f.where(F.col("v").isNotNull()).select("k", "v", "w", _band(F.col("v")).alias("band"))
-    within = within.join(hit, F.col("k").eqNullSafe(F.col("k2")) & (F.col("band") == F.col("band2")))
-    upto = F.sum("w").over(Window.partitionBy("k", "band").orderBy("v")) + F.col("below")
-    named = within.withColumn("upto", upto).select("k", "v", "w", "upto", F.explode("ranks").alias("r"))
+    held = lambda rows: F.filter(rows, lambda r: (F.col("below") < r["rank"]) & (r["rank"] <= F.col("below") + F.col("nv")))
+    # a row an interval of values: what lies below it, how many it holds, and the ranks in it
+    spans = cut(b.select("k", "lo", "hi", "d", "below", held(ranks).alias("ranks")).where(F.size("ranks") > 0))
+    values = f.where(F.col("v").isNotNull()).select("k", "v", "w")
+    within = F.col("k").eqNullSafe(F.col("k2")) & F.col("v").between(F.col("lo"), F.col("hi"))
+    renamed = lambda s: s.withColumnRenamed("k", "k2")
+    while True:
+        wide = (F.col("d") > ordered) & (F.col("lo") < F.col("hi"))
+        if not spans.where(wide).take(1):
+            break
+        # equal parts of the interval; its first and last value are never in one part, so this ends
+        place = (F.col("v").cast("double") - F.col("lo").cast("double")) / (F.col("hi").cast("double") - F.col("lo").cast("double"))
+        inner = F.least(F.lit(_PARTS - 2), F.greatest(F.lit(0), F.floor(F.coalesce(F.nanvl(place, F.lit(0.0)), F.lit(0.0)) * (_PARTS - 1)))).cast("int")
+        part = F.when(F.col("v") == F.col("lo"), -1).when(F.col("v") == F.col("hi"), _PARTS).otherwise(inner)
+        j = values.join(renamed(spans.where(wide)), within)
+        s = j.groupBy("k", "lo", part.alias("part")).agg(F.sum("w").alias("nv"), F.min("v").alias("lo2"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("d"), F.first("below").alias("under"), F.first("ranks").alias("of"))
+        s = s.withColumn("below", F.col("under") + F.sum("nv").over(Window.partitionBy("k", "lo").orderBy("part")) - F.col("nv"))
+        s = s.select("k", F.col("lo2").alias("lo"), "hi", "d", "below", held(F.col("of")).alias("ranks")).where(F.size("ranks") > 0)
+        spans = cut(spans.where(~wide).unionByName(s))
+    j = values.join(renamed(spans), within)
+    upto = F.sum("w").over(Window.partitionBy("k", "lo").orderBy("v")) + F.col("below")
+    named = j.withColumn("upto", upto).select("k", "v", "w", "upto", F.explode("ranks").alias("r"))
     named = named.where((F.col("upto") >= F.col("r.rank")) & (F.col("upto") - F.col("w") < F.col("r.rank")))
     return named.groupBy(F.col("k").alias("__k")).agg(*[F.max(F.when(F.col("r.name") == n, F.col("v"))).alias(n) for n in percentiles])

@@ -207,4 +207,4 @@ def streamed_bucket_votes(spark, sf):
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = streamed.write_votes(streamed.votes(d, cut(lexicon_known(spark, sf))), f"{base}/out", f"{base}/state")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return streamed.current_votes(spark, f"{base}/out")

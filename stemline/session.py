@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -37,19 +40,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session (tests, one machine) gets a temporary one that goes with its process; a cluster must name one that all its machines share."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="stemline-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="stemline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = "file://" + folder
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+def cleared(spark: SparkSession) -> int:
+    """Removes the tables that this process has written to the shared folder, once no query needs them any more; how many they were."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def written(df: DataFrame) -> str:
     """Write ``df`` to a new folder of the shared folder and tell which."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stemline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return path
 
 

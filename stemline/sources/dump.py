@@ -26,48 +26,57 @@ RELATION_FIELDS = {
 GLOSS_MOST = 200
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, value``: every line with its number in its file, from 1, however the file is cut into tasks."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    # ids rise without gaps within a block of a file; a row a block tells how many lines lie before it
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = blocks.select("file", "block", "first", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))
+    return rows.join(before, ["file", "block"]).select("file", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
 def read_entries(spark: SparkSession, path: str, lang: str = "English", limit: int | None = None) -> DataFrame:
-    """``line, entry`` of the usable lines: JSON, of the language, with a headword. ``line`` grows with the place in the file.
+    """``file, line, at, entry`` of the usable lines: JSON, of the language, with a headword. ``line`` is the line's number in its file, ``at`` file and line, the order of the dump.
 
     Texts are read through a variant first, so a field of an odd type spoils that field only, not its line.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.col("value"))
+    lines = numbered_lines(spark, path)
     v = lines.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
     v = v.where(F.col("v").isNotNull())
     ok = v.withColumn("e_lang", F.try_variant_get("v", "$.lang", "string")).withColumn("e_word", F.try_variant_get("v", "$.word", "string"))
     ok = ok.where((F.col("e_lang") == lang) & (F.col("e_word") != ""))
-    out = ok.select("line", F.from_json("value", ENTRY).alias("entry"))
-    return out.orderBy("line").limit(limit) if limit is not None else out
+    out = ok.select("file", "line", F.struct("file", "line").alias("at"), F.from_json("value", ENTRY).alias("entry"))
+    return out.orderBy("file", "line").limit(limit) if limit is not None else out
 
 
 def grouped_entries(entries: DataFrame) -> DataFrame:
     """One row per word and etymology number: templates in order with repeated lists once, parts of speech, first rendered text."""
-    e = entries.select("line", "entry.*").withColumn("num", F.coalesce(F.expr("try_cast(etymology_number as int)"), F.lit(1)))
+    e = entries.select("at", "entry.*").withColumn("num", F.coalesce(F.expr("try_cast(etymology_number as int)"), F.lit(1)))
     e = e.withColumn("num", F.when(F.col("num") == 0, 1).otherwise(F.col("num")))
     listed = F.transform("etymology_templates", lambda t: F.struct(t["name"].alias("name"), F.to_json(F.array_sort(F.map_entries(t["args"]))).alias("args")))
     e = e.withColumn("sig", F.sha2(F.coalesce(F.to_json(listed), F.lit("")), 256))
-    lists = e.groupBy("word", "num", "sig").agg(F.min("line").alias("line"), F.min_by("etymology_templates", "line").alias("x"))
+    lists = e.groupBy("word", "num", "sig").agg(F.min("at").alias("at"), F.min_by("etymology_templates", "at").alias("x"))
     templates = _ordered_templates(lists)
     facts = e.groupBy("word", "num").agg(
         F.array_join(F.sort_array(F.collect_set("pos")), ",").alias("pos"),
-        F.min_by("etymology_text", F.when(F.startswith("etymology_text", F.lit("Etymology tree")), F.col("line"))).alias("text"),
+        F.min_by("etymology_text", F.when(F.startswith("etymology_text", F.lit("Etymology tree")), F.col("at"))).alias("text"),
     )
     return templates.join(facts, ["word", "num"])
 
 
 def _ordered_templates(lists: DataFrame) -> DataFrame:
     # maps cannot be ordered, so lists are put in order by their line through a window, not by sorting structs
-    w = Window.partitionBy("word", "num").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = Window.partitionBy("word", "num").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     t = lists.drop("sig")
-    t = t.withColumn("all", F.collect_list(F.coalesce("x", F.array().cast(t.schema["x"].dataType))).over(w)).withColumn("r", F.row_number().over(Window.partitionBy("word", "num").orderBy("line")))
+    t = t.withColumn("all", F.collect_list(F.coalesce("x", F.array().cast(t.schema["x"].dataType))).over(w)).withColumn("r", F.row_number().over(Window.partitionBy("word", "num").orderBy("at")))
     return t.where("r = 1").select("word", "num", F.flatten("all").alias("templates"))
 
 
 def senses(entries: DataFrame, most: int = 3) -> DataFrame:
     """``word, ordinal, pos, gloss``: the first gloss of a word's first entries that have one, cut to length."""
-    e = entries.select("line", "entry.word", "entry.pos", F.expr("filter(entry.senses, s -> element_at(s.glosses, 1) is not null)").alias("s"))
-    e = e.where(F.size("s") > 0).select("line", "word", "pos", F.substring(F.get(F.get("s", F.lit(0))["glosses"], F.lit(0)), 1, GLOSS_MOST).alias("gloss"))
-    return e.withColumn("ordinal", F.row_number().over(Window.partitionBy("word").orderBy("line")) - 1).where(F.col("ordinal") < most).drop("line")
+    e = entries.select("at", "entry.word", "entry.pos", F.expr("filter(entry.senses, s -> element_at(s.glosses, 1) is not null)").alias("s"))
+    e = e.where(F.size("s") > 0).select("at", "word", "pos", F.substring(F.get(F.get("s", F.lit(0))["glosses"], F.lit(0)), 1, GLOSS_MOST).alias("gloss"))
+    return e.withColumn("ordinal", F.row_number().over(Window.partitionBy("word").orderBy("at")) - 1).where(F.col("ordinal") < most).drop("at")
 
 
 def relations(entries: DataFrame) -> DataFrame:
@@ -82,22 +91,25 @@ def relations(entries: DataFrame) -> DataFrame:
     return r.select("word", "r.*")
 
 
-#: Tags of forms that carry no inflection of their own.
-SCAFFOLD = ("inflection-template", "table-tags", "class", "canonical", "romanization")
+#: Tags that name a real inflection, and what only serves the layout of inflection tables.
+INFLECTION_TAGS = ("past", "participle", "plural", "comparative", "superlative")
+SCAFFOLD_TAGS = ("table-tags", "inflection-template")
+SCAFFOLD_FORMS = ("no-table-tags", "table-tags", "inflection-template", "glossary")
 
 
-def inflections(entries: DataFrame, tags: tuple[str, ...] = ("plural", "past", "participle", "present", "gerund", "comparative", "superlative", "third-person")) -> DataFrame:
-    """``form, base``: tagged forms other than the word itself; the first entry in file order wins."""
-    f = entries.select("line", F.col("entry.word").alias("base"), F.posexplode("entry.forms").alias("i", "f"))
-    f = f.where(F.arrays_overlap("f.tags", F.array(*[F.lit(t) for t in tags])) & ~F.arrays_overlap("f.tags", F.array(*[F.lit(t) for t in SCAFFOLD])))
-    f = f.select(F.lower("f.form").alias("form"), F.lower("base").alias("base"), "line", "i").where("form <> base AND form <> ''")
-    return f.groupBy("form").agg(F.min_by("base", F.struct("line", "i")).alias("base"))
+def inflections(entries: DataFrame, tags: tuple[str, ...] = INFLECTION_TAGS) -> DataFrame:
+    """``form, base``: inflected forms in lower case with the word as spelled; the first in file order wins, forms equal to their word in all but case are none."""
+    f = entries.select("at", F.col("entry.word").alias("base"), F.posexplode("entry.forms").alias("i", "f"))
+    listed = lambda names: F.arrays_overlap("f.tags", F.array(*[F.lit(t) for t in names]))
+    f = f.where(listed(tags) & ~listed(SCAFFOLD_TAGS) & (F.col("f.form") != "") & ~F.col("f.form").isin(*SCAFFOLD_FORMS))
+    f = f.select(F.lower("f.form").alias("form"), "base", "at", "i").where(F.col("form") != F.lower("base"))
+    return f.groupBy("form").agg(F.min_by("base", F.struct("at", "i")).alias("base"))
 
 
 def harvested_names(entries: DataFrame) -> DataFrame:
     """``code, name`` of the languages that translations name; the first wins."""
-    t = entries.select("line", F.posexplode("entry.translations").alias("i", "t")).select("line", "i", F.coalesce("t.lang_code", "t.code").alias("code"), F.col("t.lang").alias("name"))
-    return t.where("code IS NOT NULL AND name IS NOT NULL").groupBy("code").agg(F.min_by("name", F.struct("line", "i")).alias("name"))
+    t = entries.select("at", F.posexplode("entry.translations").alias("i", "t")).select("at", "i", F.coalesce("t.lang_code", "t.code").alias("code"), F.col("t.lang").alias("name"))
+    return t.where("code IS NOT NULL AND name IS NOT NULL").groupBy("code").agg(F.min_by("name", F.struct("at", "i")).alias("name"))
 
 
 def read_descendants(spark: SparkSession, path: str, source: str) -> DataFrame:

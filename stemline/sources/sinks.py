@@ -24,17 +24,29 @@ def insert_missing(target: DataFrame, new: DataFrame, key: list[str]) -> DataFra
     return target.unionByName(new.join(target, key, "left_anti"), allowMissingColumns=True)
 
 
-def _rename(spark: SparkSession, old: str, new: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
-    fs = a.getFileSystem(conf)
-    gone = jvm.org.apache.hadoop.fs.Path(new + ".old")
-    if fs.exists(b):
-        fs.delete(gone, True)
-        fs.rename(b, gone)
-    if not fs.rename(a, b):
-        raise OSError(f"could not rename {old} to {new}")
-    fs.delete(gone, True)
+def _put_in_place(spark: SparkSession, made: str, path: str) -> None:
+    """``made`` becomes ``path``. What stood there is set aside first and comes back if its successor cannot take its place; what an earlier run left aside is looked to before anything else."""
+    jvm = spark._jvm
+    new, old, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (made, path, path + ".old"))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(aside):
+        if fs.exists(old):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, old)
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"could not set {path} aside")
+    try:
+        done = fs.rename(new, old)
+    except Exception:
+        done = False
+    if not done:
+        if had:
+            fs.rename(aside, old)
+        raise OSError(f"could not put {made} in place; {path} is as it was")
+    if had:
+        fs.delete(aside, True)
 
 
 def replace_checked(df: DataFrame, path: str, checks: list[Callable[[DataFrame], str | None]] = ()) -> int:
@@ -49,7 +61,7 @@ def replace_checked(df: DataFrame, path: str, checks: list[Callable[[DataFrame],
         fault = check(made)
         if fault:
             raise ValueError(fault)
-    _rename(spark, path + ".new", path)
+    _put_in_place(spark, path + ".new", path)
     return rows
 
 

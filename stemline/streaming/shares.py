@@ -13,7 +13,7 @@ from stemline.functions import text
 
 
 def votes(documents: DataFrame, lexicon: DataFrame, time_col: str = "published_at", late: str = "30 days", size: str = "30 days") -> DataFrame:
-    """``start, bucket, votes`` by windows of publication; documents later than ``late`` behind the newest are dropped with their window.
+    """``start, bucket, votes`` by windows of publication; windows further than ``late`` behind the newest document are closed, and what comes for them later is dropped.
 
     ``lexicon`` (one row a ``form``) is a static side; its tokens are joined before the aggregation.
     """
@@ -29,9 +29,19 @@ def read_documents(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def write_votes(result: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """All that is there now, each batch's state replacing the last; exactly-once by overwriting."""
+    """The windows that a batch of files changed, with their new votes, under ``out/batch=N``.
+
+    A batch that is run again writes the same folder again, so each counts once; windows behind the watermark leave the
+    state. ``current_votes`` reads what stands now.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+
+    return result.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
 
-    return result.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+def current_votes(spark: SparkSession, out: str) -> DataFrame:
+    """``start, bucket, votes``: of each window and bucket the votes of its latest batch."""
+    rows = spark.read.parquet(out)
+    return rows.groupBy("start", "bucket").agg(F.max_by("votes", "batch").alias("votes"))

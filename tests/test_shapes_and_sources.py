@@ -14,53 +14,107 @@ ROWS = [
 ]
 
 
-@pytest.fixture(scope="module")
-def langs():
-    return shapes.Languages(ROWS)
-
-
 def t(name, *args, **named):
     return {"name": name, "args": {str(i + 1): a for i, a in enumerate(args)} | named}
 
 
+CASES = {
+    "mile": [t("root", "en", "ine-pro", "*r"), t("inh", "en", "enm", "mile"), t("inh+", "en", "enm", "mile"), t("der", "en", "la", "mille"), t("cog", "en", "de", "x")],
+    "hazelrow": [t("root", "en", "ine-pro", "*h"), t("root", "en", "ine-pro", "*h"), t("root", "en", "ine-pro", "-"), t("inh", "en", "enm", "hasel")],
+    "grafted": [t("der", "en", "enm", "o"), t("der", "en", "fro", "o"), t("der", "en", "la", "October"), t("der", "en", "ine-pro", "*o"), t("der", "en", "la", "-ber")],
+    "apart": [t("bor", "en", "la", "s"), t("der", "en", "ar", "s")],
+    "viking": [t("inh", "en", "enm", "knif"), t("inh", "en", "ang", "cnif"), t("der", "en", "non", "knifr")],
+    "obvious": [t("af", "en", "la:obvius", "-ous")],
+    "darkness": [t("suffix", "en", "dark", "ness")],
+    "outlet": [t("surf", "+deverbal", "en", "let")],
+    "geology": [t("confix", "en", "geo", "log", "y"), t("prefix", "en", "un", "geo")],
+    "colons": [t("af", "en", "zz:top", ":af", "frm:porter<alt:porte><t:carry>", "x#Noun", "y<z", "y<z")],
+    "government": [t("bor", "en", "fro", "governement"), t("suffix", "en", "govern", "ment")],
+    "telephone": [t("der", "en", "la", "a"), t("bor", "en", "fro", "b"), t("der", "en", "ar", "c"), t("af", "en", "tele-", "phone")],
+    "nightmare": [t("af", "en", "night", "mare"), t("root", "en", "ine-pro", "*mer-")],
+    "bead": [t("ety", "en", ":inh", "enm:bede<ety:inh<ang:bedu<unc:1><alt:gebed>>>")],
+    "broken": [t("ety", "en", ":inh", "enm:bede<ety:inh<ang:b>")],
+    "kin": [t("etymon", "en", ":cog", "enm:x"), t("etymon", "en", ":af", "left", "-ward")],
+    "computer": [t("root", "en", "ine-pro", "*p")],
+    "ended": [t("col-top"), t("inh", "en", "enm", "a")],
+    "unsure": [t("uinh", "en", "enm", "un")],
+    "species": [t("der", "en", "mul-tax", "S."), t("der", "en", "mul", "s")],
+    "undetermined": [t("der", "en", "und", "?"), t("der", "en", "la", "-")],
+    "phone": [t("clipping", "en", "telephone")],
+    "edit": [t("back-form", "en", "editor")],
+    "empty": [],
+}
+TEXTS = {
+    "father": "Etymology tree\nLatin pater\nOld English fæder\nMiddle English fader inh.\nEnglish father\n\nFrom Middle English, prose.\nLatin x",
+    "stepwise": "Etymology tree\nOld English a\nLatin b?\nOld French c\nOld French d\nEnglish stepwise",
+    "other": "Etymology tree\nLatin pater\nEnglish another word",
+    "prose": "From Latin.\nLatin pater\nEnglish prose",
+}
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    """``word: [(shape, [(parent, lang, term, rel)], nodes)]`` of all cases, assembled together."""
+    rows = [(w, 1, x, None) for w, x in CASES.items()] + [(w, 1, None, x) for w, x in TEXTS.items()]
+    df = spark.createDataFrame(rows, "word string, num int, templates array<struct<name:string,args:map<string,string>>>, text string")
+    out: dict = {}
+    languages = spark.createDataFrame([tuple(r.values()) for r in ROWS], "name string, wikt_code string, bucket string, era_start int, era_end int")
+    for r in sorted(shapes.assembled(df, languages).collect(), key=lambda r: (r.word, r.tree, r.no)):
+        out.setdefault(r.word, {}).setdefault(r.tree, (r.shape, []))[1].append(r)
+    return {w: [*of.values()] for w, of in out.items()}
+
+
 def told(tree):
-    return [(n["parent"], n["lang"], n["term"], n["rel"]) for n in tree.nodes]
+    return [(n.parent, n.lang, n.term, n.rel) for n in tree[1]]
 
 
-def test_chain_with_root_at_its_end(langs):
-    (tree,) = shapes.build("mile", [t("root", "en", "ine-pro", "*r"), t("inh", "en", "enm", "mile"), t("inh+", "en", "enm", "mile"), t("der", "en", "la", "mille"), t("cog", "en", "de", "x")], None, langs)
-    assert tree.shape == "chain" and told(tree) == [(None, "English", "mile", "head"), (0, "Middle English", "mile", "inherited"), (1, "Latin", "mille", "derived"), (2, "Proto-Indo-European", "*r", "root")]
+def test_chain_with_roots_at_its_end(trees):
+    (tree,) = trees["mile"]
+    assert tree[0] == "chain" and told(tree) == [(None, "English", "mile", "head"), (0, "Middle English", "mile", "inherited"), (1, "Latin", "mille", "derived"), (2, "Proto-Indo-European", "*r", "root")]
+    (tree,) = trees["hazelrow"]
+    assert told(tree)[1:] == [(0, "Middle English", "hasel", "inherited"), (1, "Proto-Indo-European", "*h", "root"), (2, "Proto-Indo-European", "-", "root")]
 
 
-def test_second_account_is_grafted_or_apart(langs):
-    october = [t("der", "en", "enm", "o"), t("der", "en", "fro", "o"), t("der", "en", "la", "October"), t("der", "en", "ine-pro", "*o"), t("der", "en", "la", "-ber")]
-    (tree,) = shapes.build("October", october, None, langs)
+def test_second_account_is_grafted_or_apart(trees):
+    (tree,) = trees["grafted"]
     assert told(tree)[-1] == (3, "Latin", "-ber", "formed_from")
-    trees = shapes.build("sandal", [t("bor", "en", "la", "s"), t("der", "en", "ar", "s")], None, langs)
-    assert [x.shape for x in trees] == ["chain", "chain"]
-
-
-def test_parts(langs):
-    (fork,) = shapes.build("obvious", [t("af", "en", "la:obvius", "-ous")], None, langs)
-    assert fork.shape == "fork" and [(n["lang"], n["term"], n["is_affix"]) for n in fork.nodes[1:]] == [("Latin", "obvius", False), ("English", "-ous", True)]
-    (dark,) = shapes.build("darkness", [t("suffix", "en", "dark", "ness")], None, langs)
-    assert [n["is_affix"] for n in dark.nodes] == [False, False, True]
-    (late,) = shapes.build("outlet", [t("surf", "+deverbal", "en", "let")], None, langs)
-    assert [n["term"] for n in late.nodes] == ["outlet", "let"]
-    (mixed,) = shapes.build("government", [t("bor", "en", "fro", "governement"), t("suffix", "en", "govern", "ment")], None, langs)
-    assert mixed.shape == "mixed"
-
-
-def test_nested_notation_rendered_block_and_stub(langs):
-    (x,) = shapes.build("bead", [t("ety", "en", ":inh", "enm:bede<ety:inh<ang:bedu<unc:1><alt:gebed>>>")], None, langs)
-    assert x.shape == "rendered" and told(x)[1:] == [(0, "Middle English", "bede", "inherited"), (1, "Old English", "gebed", "inherited")] and x.nodes[2]["certainty"] == "related"
-    assert shapes.build("bead", [t("ety", "en", ":inh", "enm:bede<ety:inh<ang:b>")], None, langs) == []
-    text = "Etymology tree\nLatin pater\nOld English fæder\nMiddle English fader inh.\nEnglish father"
-    (y,) = shapes.build("father", [], text, langs)
-    assert [n["lang"] for n in y.nodes] == ["English", "Middle English", "Old English", "Latin"]
-    (z,) = shapes.build("computer", [t("root", "en", "ine-pro", "*p")], None, langs)
-    assert z.shape == "stub" and z.nodes[1]["certainty"] == "related"
-    assert shapes.build("x", [t("col-top"), t("inh", "en", "enm", "a")], None, langs) == []
+    assert [x[0] for x in trees["apart"]] == ["chain", "chain"]
+    assert [n[1] for n in told(trees["viking"][0])] == ["English", "Middle English", "Old English", "Old Norse"]
+
+
+def test_parts(trees):
+    parts = lambda w: [(n.lang, n.term, n.is_affix) for n in trees[w][0][1][1:]]
+    assert trees["obvious"][0][0] == "fork" and parts("obvious") == [("Latin", "obvius", False), ("English", "-ous", True)]
+    assert parts("darkness") == [("English", "dark", False), ("English", "ness", True)] and parts("outlet") == [("English", "let", False)]
+    assert parts("geology") == [("English", "geo", True), ("English", "log", False), ("English", "y", True), ("English", "un", True)]
+    assert parts("colons") == [("English", "zz:top", False), ("Middle French", "porte", False), ("English", "x", False), ("English", "y", False)]
+    assert trees["government"][0][0] == "mixed" and parts("phone") == [("English", "telephone", False)] and parts("edit") == [("English", "editor", False)]
+    tele = trees["telephone"]
+    assert len(tele) == 1 and [n.parent for n in tele[0][1]].count(0) == 4
+    kids = sorted((n for n in tele[0][1] if n.parent == 0), key=lambda n: n.ordinal)
+    assert [n.lang for n in kids] == ["Old French", "Latin", "English", "English"] or kids[-1].rel == kids[-2].rel == "formed_from"
+    assert [(n.rel, n.certainty) for n in trees["nightmare"][0][1][1:]] == [("formed_from", "direct"), ("formed_from", "direct"), ("root", "related")]
+
+
+def test_nested_notation_and_stub(trees):
+    (x,) = trees["bead"]
+    assert x[0] == "rendered" and told(x)[1:] == [(0, "Middle English", "bede", "inherited"), (1, "Old English", "gebed", "inherited")] and x[1][2].certainty == "related"
+    assert "broken" not in trees and "ended" not in trees and "empty" not in trees
+    assert told(trees["kin"][0])[1:] == [(0, "English", "left", "formed_from"), (0, "English", "-ward", "formed_from")]
+    (z,) = trees["computer"]
+    assert z[0] == "stub" and z[1][1].certainty == "related"
+
+
+def test_rendered_blocks(trees):
+    assert [n[1] for n in told(trees["father"][0])] == ["English", "Middle English", "Old English", "Latin"]
+    assert told(trees["stepwise"][0])[1:] == [(0, "Old French", "d", "inherited")]
+    assert "other" not in trees and "prose" not in trees
+
+
+def test_vocabulary(trees):
+    assert told(trees["unsure"][0])[1:] == [(0, "Middle English", "un", "inherited")]
+    assert "species" not in trees
+    assert told(trees["undetermined"][0])[1:] == [(0, "und", "?", "derived"), (1, "Latin", None, "derived")]
 
 
 def test_brackets():

@@ -36,6 +36,30 @@ def test_hot_key_ties_nulls_negatives(spark):
     check(spark, rows)
 
 
+def test_fractions_of_one_key(spark):
+    """Values of every magnitude, among them many in one narrow band, with bands split down to five values."""
+    r = random.Random(5)
+    values = [r.uniform(0, 0.001) for _ in range(300)] + [1 + r.random() / 1e6 for _ in range(300)] + [-1e300, 1e300, 5e-324, 0.0, -0.25, float("inf"), float("-inf")] + [2.5] * 40
+    rows = [("hot", v) for v in values] + [("b", 7e-9), ("c", None)]
+    shares = {"p1": 0.01, "p30": 0.3, "half": 0.5, "most": 0.9, "all": 1.0}
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {x.k: tuple(x[n] for n in shares) for x in key_stats(df, "k", "v", shares, ordered=5).collect()}
+    by = sorted(values)
+    assert got["hot"] == tuple(by[max(1, math.ceil(len(by) * s)) - 1] for s in shares.values())
+    assert got["b"] == (7e-9,) * 5 and got["c"] == (None,) * 5
+
+
+def test_bands_never_fall(spark):
+    from stemline.operators.skew import _band
+
+    r = random.Random(6)
+    values = sorted({s * r.random() * 10.0 ** r.randint(-320, 300) for s in (1, -1) for _ in range(500)} | {0.0, float("inf"), float("-inf"), 5e-324, -5e-324})
+    bands = [x.b for x in spark.createDataFrame([(v,) for v in values], "v double").select("v", _band(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert bands == sorted(bands) and len(set(bands)) > 900
+    few = spark.createDataFrame([(v / 1e6,) for v in range(1000)], "v double").select(_band(F.col("v")).alias("b")).distinct().count()
+    assert few > 100
+
+
 def test_empty(spark):
     assert key_stats(spark.createDataFrame([], "k string, v int"), "k", "v", {"half": 0.5}).count() == 0
 
@@ -66,6 +90,8 @@ def test_identical_and_empty_sides(spark):
     assert compare.differences(a, a, ["a", "b"]).count() == 0
     assert {tuple(r) for r in compare.differences(a, a.limit(0), ["a", "b"]).collect()} == {("k", "only_old"), ("l", "only_old")}
     assert compare.differences(a.limit(0), a.limit(0), ["a", "b"]).count() == 0
+    zero = side(spark, [("k", "\u0000", None), ("l", None, True)])
+    assert {tuple(r) for r in compare.differences(side(spark, [("k", None, None), ("l", None, True)]), zero, ["a", "b"]).collect()} == {("k", "a")}
 
 
 def test_latest_row_and_canonical_values(spark):
