@@ -208,15 +208,15 @@ def test_strays_are_looked_for_in_the_trees_of_the_word(spark):
     lookup = spark.createDataFrame([("pipe", 1), ("bag", 3), ("bagpipe", 2)], "form string, word_id long")
     own = prime.withColumn("spine", F.expr("filter(spine, s -> s.rel <> 'formed_from')"))
     lines = lineage.lineages(own, lineage.components(n, prime, lookup))
-    shown = lineage.drawn(n, prime, lookup)
+    shown = lineage.drawn(lineage.trees_drawn(n, prime, lookup), n)
     assert {r.lang for r in shown.where("word_id = 2").collect()} == {"English", "Middle English", "Old English", "Latin", "Greek", "Proto-X"}
     assert lineage.strays(lines, shown).count() == 0
     # Latin and Greek are drawn for word 1 (Latin for others too), but not in the tree of word 2, whose line goes through word 1
     assert {tuple(r) for r in lineage.strays(lines, n).collect()} == {(2, "Latin"), (2, "Greek")}
     # a component with a donor of its own keeps that and is not opened
     kept = n.unionByName(spark.createDataFrame([(2, 1, "0.1.0", "0.1", "Dutch", "pijp", "borrowed", None, None, None)], NODE))
-    assert {tuple(r) for r in lineage.strays(lines, lineage.drawn(kept, prime, lookup)).collect()} == {(2, "Latin"), (2, "Greek")}
-    read = spark.createDataFrame([(1, "Latin (from PIE)"), (3, "Latin (from PIE)"), (5, None)], "word_id long, root_name string")
+    assert {tuple(r) for r in lineage.strays(lines, lineage.drawn(lineage.trees_drawn(kept, prime, lookup), kept)).collect()} == {(2, "Latin"), (2, "Greek")}
+    read = spark.createDataFrame([(1, "Latin"), (3, "Latin"), (5, None)], "word_id long, root_lang string")
     assert [tuple(r) for r in lineage.strays(lines, shown, read).collect()] == [(3, "Latin")]
 
 
@@ -225,9 +225,9 @@ def test_drawn_depth_and_loops(spark):
     n = spark.createDataFrame(rows, NODE)
     prime = lineage.primary(lineage.spines(n))
     lookup = spark.createDataFrame([(f"w{i}", i) for i in range(1, 8)], "form string, word_id long")
-    assert {r.lang for r in lineage.drawn(n, prime, lookup).where("word_id = 1").collect()} == {"English", "L1", "L2", "L3", "L4", "L5"}
+    assert {r.lang for r in lineage.drawn(lineage.trees_drawn(n, prime, lookup), n).where("word_id = 1").collect()} == {"English", "L1", "L2", "L3", "L4", "L5"}
     two = n.where("word_id < 3").withColumn("term", F.when((F.col("word_id") == 2) & (F.col("rel") == "formed_from"), "W1").otherwise(F.col("term")))
-    assert {r.lang for r in lineage.drawn(two, prime, lookup.unionByName(spark.createDataFrame([("W1", 3)], "form string, word_id long"))).where("word_id = 1").collect()} == {"English", "L1", "L2"}
+    assert {r.lang for r in lineage.drawn(lineage.trees_drawn(two, prime, lookup.unionByName(spark.createDataFrame([("W1", 3)], "form string, word_id long"))), two).where("word_id = 1").collect()} == {"English", "L1", "L2"}
 
 
 def test_inheritance_ends_only_when_nothing_changes(spark):
