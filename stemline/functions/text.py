@@ -234,3 +234,8 @@ def in_dictionary_pool(word: Column) -> Column:
 def asserts(text: Column, claim: str, denial: str) -> Column:
     """A claim is made and not denied; both are patterns without case."""
     return F.coalesce(F.rlike(text, F.lit(f"(?i){claim}")) & ~F.rlike(text, F.lit(f"(?i){denial}")), F.lit(False))
+
+
+def report_line(bucket: Column, percent: Column) -> Column:
+    """One line of a report: the group, its share, its bar."""
+    return F.concat(F.format_string("  %-16s %5.1f%%  ", bucket, F.bround(percent, 1)), bar(percent))

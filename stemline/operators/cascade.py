@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
@@ -34,6 +36,12 @@ def flattened_splits(splits: DataFrame, depth: int = DEPTH) -> DataFrame:
     return rows.select("word", F.transform("p", lambda x: x["part"]).alias("parts"))
 
 
+def merged_splits(*tables: DataFrame) -> DataFrame:
+    """``word, parts`` of several tables; of a word in several the first table's counts."""
+    rows = [t.select("word", "parts", F.lit(k).alias("__k")) for k, t in enumerate(tables)]
+    return reduce(DataFrame.unionByName, rows).where("word IS NOT NULL").groupBy("word").agg(F.min_by("parts", "__k").alias("parts"))
+
+
 def answered(words: DataFrame, word: str, records: DataFrame, candidates: Column, splits: DataFrame) -> DataFrame:
     """``word, via, forms``: which forms' records answer for each word.
 

@@ -83,3 +83,16 @@ def coded(df: DataFrame, column: str, codes: DataFrame, code: str, name: str) ->
     return df.join(names, F.col(column) == F.col("__code"), "left").withColumn(column, F.coalesce("__name", column)).drop("__code", "__name")
 
 
+
+
+def answer_class(old: DataFrame, new: DataFrame, branches: str = "branches") -> DataFrame:
+    """``key, class`` of every key of either side, the worst that applies: ``lost_data``, ``gained_data``, ``bucket_changed``, ``root_changed``, ``unfloated`` (the old answer had several branches) or ``same``.
+
+    Both sides: one row a ``key`` with ``resolved, bucket, root``, the old one with ``branches``; what is missing is not resolved.
+    """
+    side = lambda d, p, more=(): d.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("resolved", "bucket", "root", *more)])
+    j = side(old, "o", (branches,)).join(side(new, "n"), "key", "full")
+    was, now = (F.coalesce(f"{p}_resolved", F.lit(False)) for p in "on")
+    kind = F.when(was & ~now, "lost_data").when(now & ~was, "gained_data").when(~was & ~now, "same").when(~F.col("o_bucket").eqNullSafe(F.col("n_bucket")), "bucket_changed")
+    kind = kind.when(~F.col("o_root").eqNullSafe(F.col("n_root")), "root_changed").when(F.coalesce(F.col(f"o_{branches}") > 1, F.lit(False)), "unfloated").otherwise("same")
+    return j.select("key", kind.alias("class"))

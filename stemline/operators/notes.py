@@ -47,13 +47,42 @@ def root_glosses(terms: DataFrame, term: str, known: DataFrame, key: str, value:
     return j.select("term", F.coalesce("v", "v2").alias("value"))
 
 
-def diagram(nodes: DataFrame, languages: DataFrame) -> DataFrame:
-    """Row by age tier, column by branch, of each node of a tree: ``word_id, tree_no, node_path, row, col``."""
-    eras = languages.groupBy(F.col("name").alias("lang")).agg(F.min("era_start").alias("era_start"))
-    n = nodes.join(eras, "lang", "left")
-    tier = F.when(F.col("node_path") == "0", F.lit(-99999)).otherwise(-F.coalesce("era_start", F.lit(0)))
-    n = n.withColumn("row", F.dense_rank().over(Window.partitionBy("word_id", "tree_no").orderBy(tier)) - 1)
-    return n.select("word_id", "tree_no", "node_path", "row", F.coalesce(F.get(F.split("node_path", r"\."), F.lit(1)).cast("int"), F.lit(0)).alias("col"))
+def cased_lookup(asked: DataFrame, word: str, known: DataFrame, key: str, value: str) -> DataFrame:
+    """``word, value, case_fallback``: the record in lower case, else as typed, else with a capital, which is flagged: it may be another word."""
+    k = known.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(value).alias("v"))
+    a = asked.select(F.trim(F.col(word)).alias("word")).where("word <> ''").distinct()
+    capital = F.concat(F.upper(F.substring("word", 1, 1)), F.lower(F.expr("substring(word, 2)")))
+    tries = a.select("word", F.posexplode(F.array(F.lower("word"), F.col("word"), capital)).alias("i", "k")).join(k, "k")
+    best = tries.groupBy("word").agg(F.min_by(F.struct("v", "i"), "i").alias("b"))
+    return a.join(best, "word", "left").select("word", F.col("b.v").alias("value"), F.coalesce(F.col("b.i") == 2, F.lit(False)).alias("case_fallback"))
+
+
+def diagram(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of each tree as a diagram: ``word_id, tree_no, col, row, lang, term, term2`` and ``word_id, tree_no, col, row, below``.
+
+    A column a branch, in which only first children are followed; a row for each depth that the tree uses, by the depth hint.
+    A node whose only child is a root citation of its own language takes that in (``term2``) and goes on with the
+    child's first child. Edges join neighbouring rows of a column.
+    """
+    tree = ["word_id", "tree_no"]
+    steps = F.split("node_path", r"\.")
+    n = nodes.where("parent_path <> ''").select(*tree, "node_path", "parent_path", "lang", "term", "rel", (F.size(steps) - 1).alias("level"), F.element_at(steps, -1).cast("long").alias("place"))
+    kids = n.groupBy(*tree, "parent_path").agg(F.min("place").alias("eldest"), F.count(F.lit(1)).alias("kids"))
+    n = n.join(kids, [*tree, "parent_path"])
+    # on the line are branches and all whose way there takes first children only
+    ways = n.select(*tree, "node_path", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.col("level"), F.lit(2))), lambda i: F.array_join(F.slice(steps, F.lit(1), i + 1), "."))).alias("on"))
+    other = n.where("level > 1 AND place <> eldest").select(*tree, F.col("node_path").alias("on"))
+    off = ways.join(other, [*tree, "on"], "left_semi").select(*tree, "node_path").distinct()
+    line = n.join(off, [*tree, "node_path"], "left_anti").withColumn("branch", F.get(steps, F.lit(1)).cast("long"))
+    column = Window.partitionBy(*tree, "branch").orderBy("level")
+    line = line.withColumn("same", (F.col("level") > 1) & (F.col("kids") == 1) & (F.col("rel") == "root") & F.coalesce(F.col("lang") == F.lag("lang").over(column), F.lit(False)))
+    # of citations behind one another every other one is taken in
+    line = line.withColumn("run", F.coalesce(F.col("level") - F.max(F.when(~F.coalesce("same", F.lit(False)), F.col("level"))).over(column), F.lit(0)))
+    line = line.withColumn("in", F.col("run") % 2 == 1).withColumn("term2", F.when(F.lead("in").over(column), F.lead("term").over(column)))
+    shown = line.where(~F.col("in")).withColumn("col", F.dense_rank().over(Window.partitionBy(*tree).orderBy("branch")) - 1)
+    shown = shown.withColumn("row", F.dense_rank().over(Window.partitionBy(*tree).orderBy(classify.depth_hint(F.col("lang")))) - 1)
+    edges = shown.select(*tree, "col", "row", F.lead("row").over(Window.partitionBy(*tree, "col").orderBy("row", "level")).alias("below")).where("below IS NOT NULL")
+    return shown.select(*tree, "col", "row", "lang", "term", "term2"), edges
 
 
 def with_definition(words: DataFrame, word: str, known: DataFrame, base: DataFrame) -> DataFrame:

@@ -117,6 +117,45 @@ def patched_stubs(records_: DataFrame, pointers: DataFrame, hubs: tuple[str, ...
     return done.unionByName(left)
 
 
+def root_candidates(rows: DataFrame, reltypes: tuple[str, ...], order: str = "pos") -> DataFrame:
+    """``term, bases``: the English words that a term's rows of these kinds name, in file order."""
+    r = rows.where(F.col("reltype").isin(*reltypes) & (F.col("related_lang") == "English") & F.col("related_term").isNotNull())
+    return r.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "related_term"))), lambda x: x["related_term"]).alias("bases"))
+
+
+#: Relations that may name a foreign root outright, the most telling first.
+ROOT_RELATIONS = ("has_prefix_with_root", "has_confix", "has_affix", "has_prefix")
+
+
+def foreign_roots(records_: DataFrame, rows: DataFrame, languages: DataFrame, order: str = "pos") -> DataFrame:
+    """Bare roots and words without a record that cite a word of a foreign language as what they are built on: ``term, record`` of that one step.
+
+    Of several citations the one by the most telling relation counts, the first in order of equals.
+    """
+    answered = records_.where(F.coalesce(F.col("record.prox_kind") != "root", F.lit(False))).select("term")
+    rank = F.array_position(F.array(*[F.lit(r) for r in ROOT_RELATIONS]), F.col("reltype"))
+    cited = rows.where(F.col("reltype").isin(*ROOT_RELATIONS) & F.col("related_lang").isNotNull() & ~F.col("related_lang").isin("English", *NO_DONORS))
+    best = cited.join(answered, "term", "left_anti").groupBy("term").agg(F.min_by(F.struct("related_lang", "related_term"), F.struct(rank.alias("r"), F.col(order).alias("o"))).alias("b"))
+    best = classify.with_bucket(best.select("term", F.col("b.related_lang").alias("lang"), F.col("b.related_term").alias("root_term")), "lang", languages)
+    record = F.struct(
+        F.col("bucket").alias("p"), F.col("bucket").alias("d"), F.array("bucket").alias("chain"), F.lit("derived").alias("prox_kind"), F.col("lang").alias("root_lang"), F.lit(False).alias("root_pie"), "root_term", F.lit(False).alias("native")
+    )
+    return best.select("term", record.alias("record"))
+
+
+def enrichment_targets(records_: DataFrame, proto: DataFrame) -> DataFrame:
+    """``lang, term``: reconstructed roots that no record takes back to PIE yet, once each. ``proto``: ``name`` of the languages that are only reconstructed."""
+    r = records_.select(F.col("record.root_lang").alias("lang"), F.col("record.root_term").alias("term"), F.col("record.root_pie").alias("pie"))
+    return r.where("NOT coalesce(pie, false) AND term <> ''").join(proto.select(F.col("name").alias("lang")), "lang", "left_semi").select("lang", "term").distinct()
+
+
+def enriched(records_: DataFrame, answers: DataFrame, proto: DataFrame) -> DataFrame:
+    """Records whose reconstructed root an answer (``lang, term, deeper``) takes to PIE say so."""
+    to_pie = answers.where(F.col("deeper").isin(*classify.PIE_NAMES)).join(proto.select(F.col("name").alias("lang")), "lang", "left_semi").select(F.col("lang").alias("__l"), F.col("term").alias("__t"), F.lit(True).alias("__p")).distinct()
+    j = records_.join(to_pie, (F.col("record.root_lang") == F.col("__l")) & (F.col("record.root_term") == F.col("__t")), "left")
+    return j.withColumn("record", F.col("record").withField("root_pie", F.coalesce(F.col("record.root_pie"), F.lit(False)) | F.coalesce("__p", F.lit(False)))).drop("__l", "__t", "__p")
+
+
 def compounds(pointers: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
     """``word, parts`` of words whose every part (``word, place, part``) is known and that are not known themselves."""
     k = known.select(F.lower("term").alias("low"), F.lit(True).alias("hit")).distinct()

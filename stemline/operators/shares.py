@@ -150,3 +150,19 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """The same ``n`` rows whatever the partitioning: the smallest hashes of key and seed."""
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
     return df.withColumn("__h", h).orderBy("__h", key).limit(n).drop("__h")
+
+
+def report(shared: DataFrame, covered: DataFrame, key: str) -> DataFrame:
+    """``key, place, line``: totals (``coverage``) and the groups in display order (``shares``) of each key as the lines of a text."""
+    pct = lambda c: F.bround(F.coalesce(F.col(c), F.lit(0.0)), 1)
+    head = F.array(
+        F.format_string("Tokens analyzed : %d", "tokens"),
+        F.format_string("Classified      : %d  (coverage %.1f%%)", F.col("resolved"), pct("coverage")),
+        F.format_string("Unknown         : %d", F.col("tokens") - F.col("resolved")),
+        F.format_string("Approx. (OE/ME) : %d  (%.1f%% of classified lean on the Germanic approximation)", F.col("approximate"), pct("approximate_share")),
+        F.lit(""),
+        F.lit("Origin breakdown (of classified words):"),
+    )
+    top = covered.select(key, F.posexplode(head).alias("place", "line"))
+    bars = shared.where("bucket <> 'Unknown'").select(key, (F.lit(6) + F.row_number().over(Window.partitionBy(key).orderBy("place", "bucket")) - 1).alias("place"), text.report_line(F.col("bucket"), F.col("pct_resolved")).alias("line"))
+    return top.unionByName(bars)

@@ -6,9 +6,10 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from stemline.functions import classify, text
-from stemline.operators import cascade, compare, shares
+from stemline.operators import cascade, compare, notes, shares
+from stemline.plans import text_sql
 from stemline.plans.problems import _P7_SIDE
-from stemline.session import spread, table
+from stemline.session import cut, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -102,12 +103,10 @@ def document_tokens(spark, sf):
     return spread(table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("distinct_tokens"))
 
 
-_SAID = ["I'll go", "won’t", "they can't", "isn't it", "we've", "you're", "I'm", "Joe's dog'd", "shan‘t", "ain＇t", "naïven't", "rock'n'roll"]
-
-
-@query("SELECT text, array_to_string(" + TOKENS + ", ' ') AS expanded FROM (VALUES " + ",".join("('" + s.replace("'", "''") + "')" for s in _SAID) + ") v(text)")
+@query("SELECT doc_id, md5(array_to_string(" + TOKENS + ", ' ')) AS expanded FROM documents WHERE text IS NOT NULL")
 def contraction_expand(spark, sf):
-    return spark.createDataFrame([(s,) for s in _SAID], "text string").select("text", F.array_join(text.tokens(F.col("text")), " ").alias("expanded"))
+    """The tokens of each document, contractions expanded, told by a digest."""
+    return spread(table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.md5(F.array_join(text.tokens(F.col("text")), " ")).alias("expanded"))
 
 
 @query(f"WITH {_TOK} SELECT token, count(*) AS n FROM tok GROUP BY token ORDER BY n DESC, token LIMIT 100")
@@ -166,10 +165,11 @@ def generated_forms(spark, sf):
     return shares.new_forms(w.where("status <> 'none'"), "key_lower", text.regular_forms(F.col("key_lower")), shares.surface_forms(w), "form")
 
 
-@query()
+@query(f"""WITH {_TOK}, v AS (SELECT DISTINCT token FROM tok), {text_sql.STEMS}
+SELECT word, arg_min(base, place) AS base, CAST(min(place) AS INT) AS place FROM stems JOIN v ON v.token = base GROUP BY word""")
 def stem_first_match(spark, sf):
     """Tokens of the corpus with the first of their stems that is a token itself."""
-    vocabulary = shares.token_counts(table(spark, sf, "documents"), []).select("token")
+    vocabulary = cut(shares.token_counts(table(spark, sf, "documents"), []).select("token"))
     return shares.first_match(vocabulary, "token", text.stem_candidates(F.col("token")), vocabulary, "token")
 
 
@@ -314,14 +314,13 @@ def split_votes(spark, sf):
     return shares.split_votes(p, "p_partkey", "w").withColumn("votes", F.round("votes", 6))
 
 
-@query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part WHERE p_name IS NOT NULL),
-k AS (SELECT DISTINCT unnest(w) AS part FROM p WHERE p_partkey % 7 = 0)
+@query(f"""WITH {_TOK}, p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part WHERE p_name IS NOT NULL), k AS (SELECT DISTINCT token AS part FROM tok)
 SELECT p_partkey, max(n) AS parts FROM (SELECT p_partkey, unnest(list_distinct(w)) AS part, len(w) AS n FROM p) e LEFT JOIN k ON k.part = e.part GROUP BY p_partkey HAVING bool_and(k.part IS NOT NULL) AND max(n) >= 2""")
 def all_parts_known(spark, sf):
-    """Names every word of which also stands in a name of a key divisible by seven: relational division."""
+    """Names every word of which is a token of the corpus: relational division."""
     p = table(spark, sf, "part").where("p_name IS NOT NULL").select("p_partkey", F.split("p_name", " ").alias("w"))
-    known = p.where("p_partkey % 7 = 0").select(F.explode("w").alias("word"))
-    return shares.all_known(p, "p_partkey", "w", known, "word").withColumn("parts", F.col("parts").cast("long"))
+    known = shares.token_counts(table(spark, sf, "documents"), []).select("token")
+    return shares.all_known(p, "p_partkey", "w", known, "token").withColumn("parts", F.col("parts").cast("long"))
 
 
 @query("""SELECT doc_id, trim(regexp_extract(text, '([^.!?]*\\b(?:church|market)\\b[^.!?]*[.!?]?)', 1)) AS sentence FROM documents WHERE regexp_matches(text, '\\b(?:church|market)\\b')""")
@@ -335,25 +334,124 @@ def truncated_gloss(spark, sf):
     return table(spark, sf, "etymology").where("gloss IS NOT NULL").select("ety_id", text.truncated(F.col("gloss"), 12, "...").alias("short"))
 
 
-@query()
+_GEN = _FORMS.replace("key_lower", "w.key_lower")
+
+
+@query(f"""WITH b AS (SELECT DISTINCT headword AS form, word_id, CASE WHEN headword <> key_lower THEN 'verbatim' ELSE 'exact' END AS kind FROM word WHERE headword IS NOT NULL
+  UNION SELECT key_lower, word_id, 'case' FROM word WHERE headword <> key_lower),
+hd AS (SELECT key_lower, arg_min(word_id, struct_pack(c := headword <> key_lower, i := word_id)) AS word_id FROM word WHERE status <> 'none' AND key_lower IS NOT NULL GROUP BY 1),
+inf AS (SELECT DISTINCT lower(lang || '-' || term) AS form, term AS base FROM descendant_node WHERE lang = 'English' AND term IS NOT NULL AND lang IS NOT NULL),
+i AS (SELECT DISTINCT form, word_id, 'inflection' AS kind FROM inf JOIN hd ON lower(base) = key_lower WHERE form NOT IN (SELECT headword FROM word WHERE headword IS NOT NULL)),
+v AS (SELECT DISTINCT lower(headword) AS token FROM word WHERE status = 'none' AND headword IS NOT NULL), {text_sql.STEMS},
+d AS (SELECT word AS form, hd.word_id, 'derivation' AS kind FROM (SELECT word, arg_min(base, place) AS base FROM stems JOIN hd ON key_lower = base GROUP BY 1) JOIN hd ON key_lower = base),
+m AS (SELECT * FROM b UNION SELECT * FROM i UNION SELECT * FROM d),
+g0 AS (SELECT form, min(base) AS base FROM (SELECT key_lower AS base, unnest({_FORMS}) AS form FROM word WHERE status <> 'none' AND key_lower IS NOT NULL) WHERE form NOT IN (SELECT form FROM m WHERE form IS NOT NULL) GROUP BY 1),
+g AS (SELECT form, hd.word_id, 'generated' AS kind FROM g0 JOIN hd ON base = key_lower)
+SELECT kind, CAST(CASE kind WHEN 'verbatim' THEN 5 WHEN 'exact' THEN 10 WHEN 'inflection' THEN 40 WHEN 'generated' THEN 45 WHEN 'case' THEN 50 ELSE 60 END AS INT) AS rank, count(*) AS forms FROM (SELECT * FROM m UNION SELECT * FROM g) GROUP BY ALL""")
 def surface_form_kinds(spark, sf):
-    """How many forms reach a word in each way, inflected forms being those the stored trees' parts would take."""
+    """How many forms reach a word in each way; as inflected forms stand those that the descendant forest gives English words, marked by their language."""
     w = table(spark, sf, "word")
-    inflected = w.where("key_lower IS NOT NULL").select(F.concat("key_lower", F.lit("en")).alias("form"), F.col("key_lower").alias("base"))
+    inflected = table(spark, sf, "descendant_node").where("lang = 'English' AND term IS NOT NULL").select(F.lower(F.concat_ws("-", "lang", "term")).alias("form"), F.col("term").alias("base")).distinct()
     return shares.all_surface_forms(w, inflected).groupBy("kind", "rank").agg(F.count(F.lit(1)).alias("forms"))
 
 
-@query()
+_CASCADE = f"""WITH RECURSIVE lex0 AS ({_P7_SIDE.format('compare_new')}), r AS (SELECT lower(w) AS form, bool_or(s.b IS NOT NULL AND coalesce(s.r, false)) AS trusted, bool_or(s.b IS NOT NULL) AS usable FROM lex0 WHERE w <> '' GROUP BY 1),
+v0 AS (SELECT token, CAST(sum(n) AS BIGINT) AS n FROM (SELECT token, 1 AS n FROM (SELECT unnest({TOKENS}) AS token FROM documents) UNION ALL SELECT form || 's', 0 FROM r UNION ALL SELECT form || form, 0 FROM r) GROUP BY 1), v AS (SELECT token FROM v0), {text_sql.STEMS},
+ot AS (SELECT word, arg_min(base, place) AS other FROM stems JOIN r ON r.form = base WHERE usable GROUP BY 1),
+fine AS (SELECT form || form AS word FROM r WHERE usable),
+c AS (SELECT v0.token, n, CASE WHEN r.trusted THEN 'own' WHEN other IS NOT NULL THEN 'form' WHEN r.usable THEN 'own' WHEN fine.word IS NOT NULL THEN 'parts' WHEN r.form IS NOT NULL THEN 'own' ELSE 'none' END AS via
+  FROM v0 LEFT JOIN r ON r.form = v0.token LEFT JOIN ot ON ot.word = v0.token LEFT JOIN fine ON fine.word = v0.token)
+SELECT via, count(*) AS tokens, CAST(sum(n) AS BIGINT) AS occurrences FROM c GROUP BY via"""
+
+
+@query(_CASCADE)
 def token_cascade(spark, sf):
-    """How each token of the corpus is answered for: by itself, by a stem of it, by the words it is split into, or not at all."""
-    vocabulary = shares.token_counts(table(spark, sf, "documents"), [])
+    """How each token of the corpus, and each known word's plural and doubling, is answered for: by itself, by a stem of it, by its two halves, or not at all."""
     latest = compare.latest(table(spark, sf, "compare_new"), compare.trimmed(F.col("word")), {"bucket": compare.trimmed(F.col("bucket")), "resolved": F.col("resolved")}, F.col("checked_at"))
-    records = latest.select(F.lower("key").alias("form"), (F.col("bucket").isNotNull() & F.coalesce("resolved", F.lit(False))).alias("trusted"), F.col("bucket").isNotNull().alias("usable"))
-    pieces = table(spark, sf, "word").where("key_lower LIKE '%-%'").select(F.col("key_lower").alias("word"), F.posexplode(F.split("key_lower", "-")).alias("place", "part"))
-    answers = cascade.answered(vocabulary, "token", records, text.stem_candidates(F.col("word")), cascade.flattened_splits(pieces))
+    records = cut(latest.select(F.lower("key").alias("form"), (F.col("bucket").isNotNull() & F.coalesce("resolved", F.lit(False))).alias("trusted"), F.col("bucket").isNotNull().alias("usable")))
+    made = lambda c: records.select(c.alias("token"), F.lit(0).cast("long").alias("n"))
+    vocabulary = shares.token_counts(table(spark, sf, "documents"), []).unionByName(made(F.concat("form", F.lit("s")))).unionByName(made(F.concat("form", "form")))
+    vocabulary = cut(vocabulary.groupBy("token").agg(F.sum("n").alias("n")))
+    pieces = records.select(F.concat("form", "form").alias("word"), F.posexplode(F.array("form", "form")).alias("place", "part"))
+    splits = cascade.flattened_splits(pieces)
+    answers = cascade.answered(vocabulary, "token", records, text.stem_candidates(F.col("word")), splits)
     return vocabulary.join(answers, F.col("token") == F.col("word")).groupBy("via").agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("occurrences"))
 
 
+@query("""WITH n AS (SELECT lang, lang_code FROM descendant_node), l AS (SELECT wikt_code AS code, min(name) AS name FROM languages WHERE wikt_code IS NOT NULL GROUP BY 1)
+SELECT lang_code, coalesce(f.name, l.name, lang_code) AS name, coalesce(b.bucket, 'Unknown') AS fixed_bucket, count(*) AS nodes FROM n
+LEFT JOIN (VALUES """ + ",".join(f"('{c}', '{n}')" for c, n in classify.FAMILY_CODES.items()) + """) f(code, name) ON f.code = lang_code LEFT JOIN l ON l.code = lang_code
+LEFT JOIN (VALUES """ + ",".join(f"('{c}', '{b}')" for c, b in classify.CODE_BUCKETS.items()) + """) b(code, bucket) ON b.code = lang_code WHERE lang_code IS NOT NULL GROUP BY ALL""")
+def code_resolution(spark, sf):
+    """What each code of the forest is called: the name of a family, else the listed one, else the code; and the group that the fixed codes give it."""
+    n = table(spark, sf, "descendant_node").where("lang_code IS NOT NULL").groupBy("lang_code").agg(F.count(F.lit(1)).alias("nodes"))
+    registry = table(spark, sf, "languages").select(F.col("wikt_code").alias("code"), "name")
+    return classify.resolved_names(n, "lang_code", registry).select("lang_code", "name", classify.bucket_of_code(F.col("lang_code")).alias("fixed_bucket"), "nodes")
+
+
+@query("SELECT lang_id, l.bucket, f.family FROM languages l LEFT JOIN (VALUES " + ",".join(f"('{b}', '{f}')" for b, f in classify.FAMILIES.items()) + ") f(bucket, family) ON f.bucket = l.bucket")
+def language_families(spark, sf):
+    """The broad lineage of each language's group."""
+    return table(spark, sf, "languages").select("lang_id", "bucket", classify.family_of(F.col("bucket")).alias("family"))
+
+
+@query("SELECT name, CAST(coalesce(d, 10) AS INT) AS depth FROM (SELECT DISTINCT lang AS name FROM descendant_node WHERE lang IS NOT NULL UNION SELECT name FROM languages WHERE name IS NOT NULL) LEFT JOIN (VALUES " + ",".join(f"('{n}', {d})" for n, d in classify.DEPTH_HINT.items()) + ") h(n, d) ON n = name")
+def depth_hints(spark, sf):
+    """How far back each language of the forest and of the list lies."""
+    n = table(spark, sf, "descendant_node").select(F.col("lang").alias("name")).unionByName(table(spark, sf, "languages").select("name"))
+    return n.where("name IS NOT NULL").distinct().select("name", classify.depth_hint(F.col("name")).alias("depth"))
+
+
+@query(f"""WITH {_LEX}, {_TOK}, m AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(t) AS w, unnest(list_concat(['.'], t[:-2])) AS p FROM (SELECT regexp_extract_all(text, '[A-Za-z]+|[.!?]') AS t FROM documents WHERE lang = 'en') WHERE len(t) > 0) WHERE regexp_matches(w, '^[A-Z]') AND p NOT IN ('.', '!', '?'))
+SELECT token, count(*) AS n, min(doc_id) AS example, token IN (SELECT word FROM m) AS name_like, CASE WHEN token NOT IN (SELECT form FROM lex) THEN 'Unknown' ELSE 'Other' END AS class
+FROM tok WHERE lang = 'en' AND (token NOT IN (SELECT form FROM lex) OR token IN (SELECT form FROM lex WHERE bucket = 'Other')) GROUP BY token""")
+def unknown_findings(spark, sf):
+    """Tokens of English documents that nothing answers for (Unknown) or whose group is open (Other): how often, where, and whether they stand with a capital inside a sentence."""
+    d = spread(table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text"))
+    t = d.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("example"))
+    names = d.select(F.explode(text.mid_sentence_capitals(F.col("text"))).alias("token")).distinct().withColumn("name_like", F.lit(True))
+    j = t.join(lexicon_known(spark, sf), t["token"] == F.col("form"), "left").where("bucket IS NULL OR bucket = 'Other'")
+    return j.join(names, "token", "left").select("token", "n", "example", F.coalesce("name_like", F.lit(False)).alias("name_like"), F.coalesce("bucket", F.lit("Unknown")).alias("class"))
+
+
+_OLD = _P7_SIDE.replace("t := coalesce(l.name, t))", "t := coalesce(l.name, t), n := branches)").replace("resolved, nullif", "resolved, branches, nullif", 1).format("compare_old")
+
+
+@query(f"""WITH o AS ({_OLD}), n AS ({_P7_SIDE.format('compare_new')}), j AS (SELECT coalesce(o.s.r, false) AS a, coalesce(n.s.r, false) AS b, o.s AS x, n.s AS y FROM o FULL JOIN n ON o.w = n.w)
+SELECT CASE WHEN a AND NOT b THEN 'lost_data' WHEN b AND NOT a THEN 'gained_data' WHEN NOT a THEN 'same' WHEN x.b IS DISTINCT FROM y.b THEN 'bucket_changed' WHEN x.t IS DISTINCT FROM y.t THEN 'root_changed' WHEN x.n > 1 THEN 'unfloated' ELSE 'same' END AS class, count(*) AS words FROM j GROUP BY 1""")
+def answer_classes(spark, sf):
+    """How many words the new answers lose, gain, move or leave as they were."""
+    languages = table(spark, sf, "languages")
+
+    def side(name: str, *more: str) -> DataFrame:
+        root = compare.trimmed(F.regexp_replace("root", r"(?U)(\s*\([^()]*\))+\s*$", ""))
+        fields = {"resolved": F.col("resolved"), "bucket": compare.trimmed(F.col("bucket")), "root": root, **{m: F.col(m) for m in more}}
+        rows = compare.latest(table(spark, sf, name).where("word IS NOT NULL"), F.regexp_replace("word", r"(?U)^\s+|\s+$", ""), fields, F.col("checked_at"))
+        return compare.coded(rows, "root", languages, "wikt_code", "name")
+
+    return compare.answer_class(side("compare_old", "branches"), side("compare_new")).groupBy("class").agg(F.count(F.lit(1)).alias("words"))
+
+
+@query(f"""WITH s AS ({_shares_sql('lang')}), c AS (SELECT lang, sum(votes) AS t, coalesce(sum(votes) FILTER (WHERE bucket <> 'Unknown'), 0) AS r, coalesce(sum(votes) FILTER (WHERE bucket = 'Germanic'), 0) AS a FROM s GROUP BY lang)
+SELECT lang, CAST(unnest([0, 1, 2, 3, 4, 5]) AS INT) AS place, unnest([format('Tokens analyzed : {{:d}}', CAST(t AS BIGINT)), format('Classified      : {{:d}}  (coverage {{:.1f}}%)', CAST(r AS BIGINT), round_even(r * 100.0 / t, 1)), format('Unknown         : {{:d}}', CAST(t - r AS BIGINT)),
+  format('Approx. (OE/ME) : {{:d}}  ({{:.1f}}% of classified lean on the Germanic approximation)', CAST(a AS BIGINT), round_even(coalesce(a * 100.0 / nullif(r, 0), 0), 1)), '', 'Origin breakdown (of classified words):']) AS line FROM c
+UNION ALL SELECT lang, CAST(5 + row_number() OVER (PARTITION BY lang ORDER BY place, bucket) AS INT), '  ' || rpad(bucket, CAST(greatest(16, length(bucket)) AS INT), ' ') || ' ' || format('{{:5.1f}}', round_even(pct_resolved, 1)) || '%  ' || repeat('#', CAST(round_even(pct_resolved / 2, 0) AS INT)) FROM s WHERE bucket <> 'Unknown'""")
+def text_report(spark, sf):
+    """The report on the documents of each language, line by line."""
+    r = shares.resolved_tokens(cut(shares.token_counts(table(spark, sf, "documents"), ["lang"])), cut(lexicon_known(spark, sf)))
+    return shares.report(shares.shares(r, ["lang"]).withColumn("pct_resolved", F.round("pct_resolved", 6)), shares.coverage(r, ["lang"]), "lang")
+
+
+@query("""WITH k AS (SELECT headword AS k, min(word_id) AS v FROM word WHERE headword IS NOT NULL GROUP BY 1), a AS (SELECT DISTINCT trim(headword) AS word FROM documents WHERE headword <> '' UNION SELECT DISTINCT lower(trim(headword)) FROM word WHERE headword <> ''),
+t AS (SELECT word, unnest([0, 1, 2]) AS i, unnest([lower(word), word, upper(word[1]) || lower(word[2:])]) AS k FROM a), b AS (SELECT word, arg_min(v, i) AS v, min(i) AS i FROM t JOIN k USING (k) GROUP BY 1)
+SELECT a.word, b.v AS value, coalesce(b.i = 2, false) AS case_fallback FROM a LEFT JOIN b ON b.word = a.word""")
+def case_fallback_lookup(spark, sf):
+    """Headwords of documents and lower-case headwords of words, looked up in lower case, as typed, and with a capital."""
+    d, w = table(spark, sf, "documents"), table(spark, sf, "word")
+    asked = d.select("headword").unionByName(w.where("headword <> ''").select(F.lower(F.trim("headword")).alias("headword")))
+    return notes.cased_lookup(asked, "headword", w.where("headword IS NOT NULL"), "headword", "word_id")
+
+
 @query("""SELECT lang_code, coalesce(b, 'Unknown') AS bucket, count(*) AS nodes FROM descendant_node LEFT JOIN (SELECT wikt_code, min(bucket) AS b FROM languages WHERE wikt_code IS NOT NULL GROUP BY 1) l ON wikt_code = lang_code GROUP BY ALL""")
 def bucket_by_code(spark, sf):
     n = table(spark, sf, "descendant_node").groupBy("lang_code").agg(F.count(F.lit(1)).alias("nodes"))

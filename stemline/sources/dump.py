@@ -120,9 +120,10 @@ def read_descendants(spark: SparkSession, path: str, source: str) -> DataFrame:
     return lines.where(F.col("v").isNotNull() & word.isNotNull()).select(F.xxhash64("value").alias("word_id"), renamed.alias("tree_json"), F.lit(source).alias("source"))
 
 
-def read_relations(spark: SparkSession, path: str, lang: str = "English") -> DataFrame:
-    """Relation rows of one language; the filter and the columns reach the scan."""
-    return spark.read.schema(RELATION).parquet(path).where(F.col("lang") == lang)
+def read_relations(spark: SparkSession, path: str, lang: str = "English", term: str | None = None) -> DataFrame:
+    """Relation rows of one language, or of one term of it; the filters and the columns reach the scan."""
+    rows = spark.read.schema(RELATION).parquet(path).where(F.col("lang") == lang)
+    return rows if term is None else rows.where(F.col("term") == term)
 
 
 def read_languages(spark: SparkSession, path: str) -> DataFrame:
