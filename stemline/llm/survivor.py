@@ -21,7 +21,7 @@ HALF_LIFE_DAYS = 365.0
 def has_value(c: Column, nothing: tuple[str, ...] = NOTHING) -> Column:
     """Not null, not blank, not bare signs, not a word for nothing."""
     bare = F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-    return F.coalesce((bare != "") & ~bare.isin(*nothing), F.lit(False))
+    return F.coalesce(~bare.isin("", *nothing), F.lit(False))
 
 
 def normalised(c: Column) -> Column:
