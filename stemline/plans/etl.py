@@ -13,8 +13,9 @@ from stemline.functions import classify, text
 from stemline.operators import forest, lineage, nested, notes, relations, shapes, shares
 from stemline.operators.hierarchy import hierarchy
 from stemline.plans.problems import NODES_CTE
+from stemline.plans.trees import _PRIMARY, _STAGE
 from stemline.plans.trees import nodes as stored_nodes
-from stemline.plans.words import lexicon_known
+from stemline.plans.words import _LEX, TOKENS, lexicon_known
 from stemline.session import cut, shared_dir, table
 from stemline.streaming import shares as streamed
 
@@ -53,8 +54,9 @@ def template_trees(spark, sf):
     return shapes.assembled(_templates(spark, sf), table(spark, sf, "languages"))
 
 
-@query()
+@query("SELECT fault, CAST(0 AS BIGINT) AS n FROM (VALUES ('heads'), ('floating')) v(fault)")
 def template_tree_faults(spark, sf):
+    """Trees built from templates with no or several heads, and nodes without their parent: none are expected."""
     return shapes.node_faults(cut(template_trees(spark, sf)))
 
 
@@ -127,7 +129,17 @@ def relation_rows(spark, sf):
     return relations.expanded(_relation_rows(spark, sf)).select("term_id", "lang", "related")
 
 
-@query()
+_NOTES = _PRIMARY + f""",
+hn AS (SELECT n.* FROM n JOIN pr USING (word_id, tree_no) WHERE parent_path = '0'),
+cq AS (SELECT word_id, 'a word-for-word translation of ' || arg_min(concat_ws(' ', lang, term), place) AS note FROM hn WHERE rel = 'calque' AND lang IS NOT NULL GROUP BY 1),
+fm AS (SELECT word_id, 'built from ' || string_agg(term, ' + ' ORDER BY place) AS note FROM hn WHERE rel = 'formed_from' AND term IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+fd AS (SELECT word_id, arg_min(lang, pos) AS donor FROM sp JOIN pr USING (word_id, tree_no) WHERE pos > 0 AND lang IS NOT NULL AND NOT {_STAGE.format('lang')} AND coalesce(rel, '') <> 'root' GROUP BY 1),
+er AS (SELECT word_id, 'English took this from ' || donor || ', spoken ' || label AS note FROM fd JOIN (SELECT name, min(era_label) AS label FROM languages WHERE era_certain = 1 AND era_label IS NOT NULL GROUP BY 1) l ON l.name = donor),
+al AS (SELECT word_id, 1 AS o, 'calque' AS kind, note FROM cq UNION ALL SELECT word_id, 2, 'formation', note FROM fm UNION ALL SELECT word_id, 3, 'era', note FROM er),
+nt AS (SELECT word_id, CAST(row_number() OVER (PARTITION BY word_id ORDER BY o) - 1 AS INT) AS place, kind, note AS text FROM al)"""
+
+
+@query(_NOTES + " SELECT * FROM nt")
 def word_notes(spark, sf):
     """Side notes of each word, one row a note."""
     n = cut(stored_nodes(spark, sf))
@@ -150,14 +162,43 @@ def lower_then_typed_lookup(spark, sf):
     return notes.lower_then_typed(table(spark, sf, "documents"), "headword", table(spark, sf, "word").where("headword IS NOT NULL"), "headword", "word_id")
 
 
-@query(NODES_CTE + """, e AS (SELECT name AS lang, min(era_start) AS era_start FROM languages GROUP BY 1)
-SELECT word_id, tree_no, node_path, dense_rank() OVER (PARTITION BY word_id, tree_no ORDER BY CASE WHEN node_path = '0' THEN -99999 ELSE -coalesce(era_start, 0) END) - 1 AS row,
-  coalesce(CAST(string_split(node_path, '.')[2] AS INT), 0) AS col FROM x LEFT JOIN e USING (lang)""")
+_HINTS = "(VALUES " + ",".join(f"('{n}', {d})" for n, d in classify.DEPTH_HINT.items()) + ") hi(nm, d)"
+_DIAGRAM = NODES_CTE + f""",
+a AS (SELECT word_id, tree_no, node_path, parent_path, lang, term, rel, len(string_split(node_path, '.')) - 1 AS level, CAST(string_split(node_path, '.')[-1] AS BIGINT) AS place, CAST(string_split(node_path, '.')[2] AS BIGINT) AS branch FROM x WHERE parent_path <> ''),
+b AS (SELECT *, min(place) OVER p = place AS eldest, count(*) OVER p AS kids FROM a WINDOW p AS (PARTITION BY word_id, tree_no, parent_path)),
+-- down first children, taking in a lone root citation of the node's own language
+c AS (SELECT word_id, tree_no, branch, node_path, level, lang, term FROM b WHERE level = 1
+  UNION ALL SELECT b.word_id, b.tree_no, b.branch, b.node_path, b.level, b.lang, b.term FROM c
+    LEFT JOIN b m ON m.word_id = c.word_id AND m.tree_no = c.tree_no AND m.parent_path = c.node_path AND m.kids = 1 AND m.rel = 'root' AND m.lang = c.lang
+    JOIN b ON b.word_id = c.word_id AND b.tree_no = c.tree_no AND b.eldest AND b.parent_path = coalesce(m.node_path, c.node_path)),
+e AS (SELECT c.word_id, c.tree_no, CAST(dense_rank() OVER (PARTITION BY c.word_id, c.tree_no ORDER BY c.branch) - 1 AS INT) AS col, CAST(dense_rank() OVER (PARTITION BY c.word_id, c.tree_no ORDER BY coalesce(d, 10)) - 1 AS INT) AS row, c.level, c.lang, c.term, m.term AS term2 FROM c
+  LEFT JOIN b m ON m.word_id = c.word_id AND m.tree_no = c.tree_no AND m.parent_path = c.node_path AND m.kids = 1 AND m.rel = 'root' AND m.lang = c.lang LEFT JOIN {_HINTS} ON nm = c.lang)"""
+
+
+@query(_DIAGRAM + " SELECT word_id, tree_no, col, row, lang, term, term2 FROM e")
 def diagram_layout(spark, sf):
-    return notes.diagram(stored_nodes(spark, sf), table(spark, sf, "languages"))
+    """Where the nodes of each stored tree stand in its diagram."""
+    return notes.diagram(stored_nodes(spark, sf))[0]
 
 
-@query()
+@query(_DIAGRAM + " SELECT * FROM (SELECT word_id, tree_no, col, row, lead(row) OVER (PARTITION BY word_id, tree_no, col ORDER BY row, level) AS below FROM e) WHERE below IS NOT NULL")
+def diagram_edges(spark, sf):
+    return notes.diagram(stored_nodes(spark, sf))[1]
+
+
+@query("""WITH p AS (SELECT n.lang, p.lang AS up FROM descendant_node n JOIN descendant_node p ON p.node_id = n.parent_id AND p.tree_id = n.tree_id WHERE n.term IS NOT NULL),
+r AS (SELECT up, CASE WHEN up = lang THEN 'derived_from' WHEN up LIKE 'Proto-%' OR up = 'PIE' THEN 'inherited_from' ELSE 'borrowed_from' END AS kind FROM p)
+SELECT kind, family, count(*) AS n FROM r LEFT JOIN (SELECT name, min(family) AS family FROM languages GROUP BY 1) l ON l.name = up GROUP BY ALL""")
+def relation_kinds(spark, sf):
+    """How many relation rows there are of each kind and each family of the related language; languages that are not listed count too."""
+    r = _relation_rows(spark, sf).groupBy("reltype", "related_lang").agg(F.count(F.lit(1)).alias("n"))
+    l = table(spark, sf, "languages").groupBy(F.col("name").alias("related_lang")).agg(F.min("family").alias("family"))
+    return r.join(l, "related_lang", "left").groupBy(F.col("reltype").alias("kind"), "family").agg(F.sum("n").alias("n"))
+
+
+@query(_NOTES + """, gc AS (SELECT word_id, gloss, count(*) AS c, min(ety_id) AS f FROM etymology WHERE gloss IS NOT NULL GROUP BY ALL), gm AS (SELECT word_id, arg_min(gloss, struct_pack(c := -c, f := f)) AS gloss FROM gc GROUP BY 1),
+ps AS (SELECT word_id, array_to_string(list_sort(list_distinct(list(pos_list))), ', ') AS pos FROM etymology WHERE pos_list IS NOT NULL GROUP BY 1), ns AS (SELECT word_id, string_agg(text, '; ' ORDER BY place) AS notes FROM nt GROUP BY 1)
+SELECT word_id, headword, gloss, pos, notes FROM word LEFT JOIN gm USING (word_id) LEFT JOIN ps USING (word_id) LEFT JOIN ns USING (word_id) WHERE gloss IS NOT NULL OR pos IS NOT NULL OR notes IS NOT NULL""")
 def word_cards(spark, sf):
     """Definition, parts of speech and notes of each word that has any of them."""
     w = table(spark, sf, "word").select("word_id", "headword")
@@ -198,7 +239,8 @@ def nested_roundtrip(spark, sf):
     return back.join(lost, "tree_id", "full").select("tree_id", (F.coalesce("k", F.lit(0)) + F.coalesce("l", F.lit(0))).alias("n"))
 
 
-@query()
+@query(f"""WITH {_LEX}, tok AS (SELECT time_bucket(INTERVAL 30 DAYS, CAST(published_at AS TIMESTAMP), TIMESTAMP '1970-01-01') AS start, unnest({TOKENS}) AS token FROM documents WHERE published_at IS NOT NULL)
+SELECT start, coalesce(bucket, 'Unknown') AS bucket, count(*) AS votes FROM tok LEFT JOIN lex ON form = token GROUP BY ALL""")
 def streamed_bucket_votes(spark, sf):
     """The shares of the corpus by months of publication, through a stream of its files."""
     static = table(spark, sf, "documents")
