@@ -281,7 +281,20 @@ def marked_paths(spark, sf):
     return forest.on_path(table(spark, sf, "descendant_node"), F.col("lang") == "English")
 
 
-@query()
+def _spliced_sql(most: int = forest.CLIMB) -> str:
+    """The forest spliced round by round: leaves that head another tree are continued there, each form once under a top."""
+    out = _RANKED.split("r AS (SELECT")[0] + f"""bd AS (SELECT w.tree_id, w.node_id, w.depth, w.path, n.lang, n.term, NOT EXISTS (SELECT 1 FROM descendant_node k WHERE k.tree_id = w.tree_id AND k.parent_id = w.node_id) AS leaf FROM w JOIN descendant_node n USING (tree_id, node_id)),
+rt AS (SELECT lang, term, arg_max(tree_id, struct_pack(c := coalesce(node_count, -1), i := -tree_id)) AS next FROM descendant_tree WHERE lang IS NOT NULL AND term IS NOT NULL GROUP BY ALL),
+s0 AS (SELECT tree_id AS top, lang, term FROM descendant_tree), f0 AS (SELECT tree_id AS top, path, lang, term, depth + 1 AS depth, leaf FROM bd)"""
+    for k in range(most):
+        out += f""",
+m{k} AS (SELECT top, lang, term, arg_min(struct_pack(p := path, d := depth, n := next), path) AS b FROM f{k} JOIN rt USING (lang, term) WHERE leaf AND depth < {most} AND NOT EXISTS (SELECT 1 FROM s{k} s WHERE s.top = f{k}.top AND s.lang = f{k}.lang AND s.term = f{k}.term) GROUP BY top, lang, term),
+f{k + 1} AS (SELECT top, b.p || '/' || bd.path AS path, bd.lang, bd.term, bd.depth + 1 + b.d AS depth, bd.leaf FROM m{k} JOIN bd ON bd.tree_id = b.n), s{k + 1} AS (SELECT * FROM s{k} UNION ALL SELECT top, lang, term FROM m{k})"""
+    rows = " UNION ALL ".join([f"SELECT top, depth, 0 AS x FROM f{k}" for k in range(most + 1)] + [f"SELECT top, NULL, 1 FROM m{k}" for k in range(most)])
+    return out + f" SELECT top, count(depth) AS nodes, max(depth) AS deepest, CAST(sum(x) AS BIGINT) AS spliced FROM ({rows}) GROUP BY top"
+
+
+@query(_spliced_sql())
 def spliced_forest(spark, sf):
     """Every tree with its leaves continued by the trees they are roots of: its size and depth."""
     s = forest.splice(table(spark, sf, "descendant_node"), table(spark, sf, "descendant_tree"))
@@ -293,7 +306,11 @@ def spelling_variants(spark, sf):
     return forest.variants(table(spark, sf, "descendant_node"))
 
 
-@query()
+@query(_RANKED.split(",\nr AS (SELECT")[0] + """,
+q AS (SELECT w.*, n.lang, n.term, regexp_replace(path, '/[^/]*$', '') AS above, EXISTS (SELECT 1 FROM e WHERE e.tree_id = w.tree_id AND e.up = w.node_id) AS inner_ FROM w JOIN descendant_node n USING (tree_id, node_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY tree_id, CASE WHEN depth > 0 THEN above END ORDER BY path) > 1 AS comma, concat_ws(', ', '"lang": ' || CAST(to_json(lang) AS VARCHAR), '"term": ' || CAST(to_json(term) AS VARCHAR), CASE WHEN inner_ THEN '"children": [' END) AS told FROM q),
+p AS (SELECT tree_id, path AS k, CASE WHEN comma THEN ', {' ELSE '{' END || told AS s, 1 AS c FROM o UNION ALL SELECT tree_id, path || '/~', CASE WHEN inner_ THEN ']}' ELSE '}' END, 0 FROM o)
+SELECT tree_id, CAST(sum(c) AS INT) AS nodes, '[' || string_agg(s, '' ORDER BY k) || ']' AS tree_json FROM p GROUP BY tree_id""")
 def nested_trees(spark, sf):
     return forest.nested(table(spark, sf, "descendant_node"))
 
