@@ -113,4 +113,24 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p4_found, p4_report, p4_nearest, p6_found, p6_records, p8_ids, p9_containers, p9_fill, p9_report, p10_found, p10_profile)}
-SQL = {"p6_found": P6_SQL}
+P6_RECORDS_SQL = r"""
+WITH c AS (
+  SELECT e.*, CASE WHEN p.priority IS NOT NULL THEN 100.0 / (10.0 + p.priority) ELSE 1.0 / (1.0 + k) END * pow(2.0, -coalesce((1893456000.0 - epoch_us(e.recorded_at) / 1e6) / 86400.0, 3650.0) / 365.0) AS vote,
+    row_number() OVER (ORDER BY p.priority NULLS LAST, CASE WHEN p.priority IS NULL THEN k ELSE 0 END, e.recorded_at DESC NULLS LAST, e.ety_id) AS r
+  FROM etymology e LEFT JOIN (SELECT source_id, coalesce(additive_only, 0) = 1 AS barred, CASE lower(trim(kind)) WHEN 'curated' THEN 0 WHEN 'extract' THEN 1 WHEN 'derived' THEN 2 ELSE 3 END AS k FROM sources) s USING (source_id)
+  LEFT JOIN source_precedence p USING (source_id) WHERE NOT coalesce(barred, false)),
+l AS (SELECT word_id, ordinal, unnest(['label', 'pos_list', 'shape', 'confidence', 'gloss']) AS field, unnest([label, pos_list, shape, confidence, gloss]) AS v, vote, r FROM c),
+n AS (SELECT *, lower(trim(regexp_replace(v, '\s+', ' ', 'g'))) AS norm FROM l WHERE regexp_replace(lower(v), '[^\p{L}\p{N}]', '', 'g') NOT IN ('', 'na', 'none', 'null', 'tbd', 'unknown')),
+g AS (SELECT word_id, ordinal, field, norm, sum(vote) AS votes, min(r) AS best, arg_min(v, r) AS v FROM n GROUP BY ALL),
+w AS (SELECT word_id, ordinal, field, arg_max(v, struct_pack(a := round(votes, 9), b := -best)) AS v FROM g GROUP BY ALL)
+SELECT word_id, ordinal, max(v) FILTER (WHERE field = 'label') AS label, max(v) FILTER (WHERE field = 'pos_list') AS pos_list, max(v) FILTER (WHERE field = 'shape') AS shape,
+  max(v) FILTER (WHERE field = 'confidence') AS confidence, max(v) FILTER (WHERE field = 'gloss') AS gloss FROM w GROUP BY ALL
+"""
+# the distance of the other engine counts bytes; names of the list are ASCII, so any one sign may stand for a letter that is not
+P4_NEAREST_SQL = r"""
+WITH q AS (SELECT DISTINCT lower(trim(alias)) AS query FROM language_alias WHERE lang_id IS NULL AND alias IS NOT NULL), n AS (SELECT DISTINCT lower(name) AS entry FROM languages WHERE name IS NOT NULL),
+d AS (SELECT query, entry, damerau_levenshtein(regexp_replace(query, '[^\x00-\x7F]', '~', 'g'), entry) AS distance FROM q JOIN n ON length(query) - length(entry) BETWEEN -3 AND 3),
+b AS (SELECT query, arg_min(struct_pack(e := entry, d := distance), struct_pack(d := distance, e := entry)) AS b FROM d WHERE distance <= 3 GROUP BY 1)
+SELECT query, b.e AS entry, CAST(b.d AS INT) AS distance FROM q LEFT JOIN b USING (query)
+"""
+SQL = {"p6_found": P6_SQL, "p6_records": P6_RECORDS_SQL, "p4_nearest": P4_NEAREST_SQL}
