@@ -170,8 +170,8 @@ def by_depth(steps: Column) -> Column:
 
 def guarded_by_depth(steps: Column) -> Column:
     """Sorted by depth only within one family and with all languages in the hint; else as they stand."""
-    families = F.array_distinct(F.transform(steps, lambda s: family_of(s["bucket"])))
-    known = F.forall(steps, lambda s: lookup(DEPTH_HINT, s["lang"]).isNotNull() & family_of(s["bucket"]).isNotNull())
+    families = F.array_distinct(F.array_compact(F.transform(steps, lambda s: family_of(s["bucket"]))))
+    known = F.forall(steps, lambda s: lookup(DEPTH_HINT, s["lang"]).isNotNull())
     return F.when((F.size(families) <= 1) & known, by_depth(steps)).otherwise(steps)
 
 

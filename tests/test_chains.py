@@ -76,10 +76,11 @@ def test_mode_must_be_known():
 def test_repeats_and_orders(spark):
     twice = [("Latin", "a", "derived", "Latin", 1, 2)] * 2 + [("Latin", "b", "derived", "Latin", 1, 2)]
     assert [len(x) for x in run(spark, chains.without_repeats, twice, [])] == [2, 0]
-    got = run(spark, chains.by_depth, steps("Latin", "Nowhere", "Middle English", "PIE"))
-    assert [s["lang"] for s in got[0]] == ["Middle English", "Latin", "PIE", "Nowhere"]
-    got = run(spark, chains.guarded_by_depth, steps("Old English", "Middle English"), steps("Latin", "Middle English"))
-    assert [[s["lang"] for s in x] for x in got] == [["Middle English", "Old English"], ["Latin", "Middle English"]]
+    got = run(spark, chains.by_depth, steps("Latin", "Nowhere", "Old French", "Middle English"))
+    assert [s["lang"] for s in got[0]] == ["Middle English", "Nowhere", "Old French", "Latin"]
+    # one family (Latin and French are) with all tiers known; two families; a language without a tier
+    got = run(spark, chains.guarded_by_depth, steps("Latin", "Old French"), steps("Latin", "Middle English"), steps("Latin", "Nowhere", "Old French"))
+    assert [[s["lang"] for s in x] for x in got] == [["Old French", "Latin"], ["Latin", "Middle English"], ["Latin", "Nowhere", "Old French"]]
 
 
 def test_reliable_roots(spark):

@@ -108,8 +108,14 @@ def test_notes(spark):
     got = {r.word_id: [tuple(x) for x in r.notes] for r in notes.note_columns(n, prime, prime.select("word_id", F.col("spine").alias("line")), languages, coined).collect()}
     assert got[1] == [("era", "English took this from Latin, spoken 75 BC-476")] and got[2] == [("formation", "built from bag + pipe + -s")] and got[5] == [("coinage", "coined by X")]
     assert got[6][0] == ("calque", "a word-for-word translation of Latin c") and 3 not in got
-    d = {(r.word_id, r.tree_no, r.node_path): (r["row"], r.col) for r in notes.diagram(n, languages).collect()}
-    assert d[1, 1, "0"] == (0, 0) and d[1, 1, "0.1.0"][0] > d[1, 1, "0.1"][0] and d[1, 1, "0.1"][1] == 1
+    lined = [
+        (9, 1, "0", "", "English", "w", "head", None, None, None), (9, 1, "0.0", "0", "Latin", "a", "borrowed", None, None, None), (9, 1, "0.0.0", "0.0", "Latin", "b", "root", None, None, None), (9, 1, "0.0.0.0", "0.0.0", "Latin", "c", "root", None, None, None),
+        (9, 1, "0.0.0.0.0", "0.0.0.0", "Latin", "d", "root", None, None, None), (9, 1, "0.2", "0", "Old French", "e", "borrowed", None, None, None), (9, 1, "0.2.0", "0.2", "Latin", "f", "derived", None, None, None), (9, 1, "0.2.1", "0.2", "Greek", "g", "derived", None, None, None),
+    ]
+    at, edges = notes.diagram(spark.createDataFrame(lined, NODE))
+    # of a run of root citations every other one is taken in; only first children are followed; rows are compact
+    assert {(r.col, r["row"], r.term, r.term2) for r in at.collect()} == {(0, 1, "a", "b"), (0, 1, "c", "d"), (1, 0, "e", None), (1, 1, "f", None)}
+    assert sorted((r.col, r["row"], r.below) for r in edges.collect()) == [(0, 1, 1), (1, 0, 1)]
 
 
 def test_lookups(spark):
