@@ -159,7 +159,7 @@ def lineages(prime: DataFrame, parts: DataFrame, depth: int = DEPTH) -> DataFram
     return own.where("donor").select("word_id", F.col("spine").alias("line")).unionByName(behind.select(F.get("way", F.lit(0)).alias("word_id"), "line"))
 
 
-def resolved(lines: DataFrame, nodes: DataFrame, prime: DataFrame, states: DataFrame) -> DataFrame:
+def resolved(lines: DataFrame, nodes: DataFrame, prime: DataFrame, states: DataFrame, languages: DataFrame) -> DataFrame:
     """Each word's answer in three readings: ``word_id, kind, direct, influence, root, root_lang, root_name, parts``.
 
     ``lines`` with buckets; ``states`` are ``statuses``. Kinds: ``donor`` where the line has foreign donors; ``root`` for a bare stub
@@ -172,7 +172,8 @@ def resolved(lines: DataFrame, nodes: DataFrame, prime: DataFrame, states: DataF
     word = ~is_bound_part(F.col("term"), F.coalesce(F.col("is_affix").isin("true", "1"), F.lit(False)))
     built = heads.where((F.col("rel") == "formed_from") & (F.col("term") != "") & word).select("word_id", "place", F.regexp_replace("term", "^-+|-+$", "").alias("part"))
     built = built.groupBy("word_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda s: s["part"]).alias("p")).where(F.size("p") >= 2)
-    cited = heads.where("rel = 'root' AND lang IS NOT NULL").groupBy("word_id").agg(F.min_by(F.struct("lang", "bucket"), "place").alias("c"))
+    cited = heads.where("rel = 'root' AND lang IS NOT NULL").groupBy("word_id").agg(F.min_by("lang", "place").alias("lang"))
+    cited = classify.with_bucket(cited, "lang", languages).select("word_id", F.struct("lang", "bucket").alias("c"))
     j = lines.join(states, "word_id").join(built, "word_id", "left").join(cited, "word_id", "left")
     j = j.withColumn("f", F.transform(chains.foreign_donors(F.col("line")), lambda s: F.struct(s["lang"].alias("lang"), s["bucket"].alias("bucket"))))
     stub = F.col("status") == "stub"

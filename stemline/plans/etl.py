@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from stemline.functions import classify, text
 from stemline.operators import forest, lineage, nested, notes, relations, shapes, shares
@@ -34,18 +34,20 @@ def query(sql: str | None = None):
 
 
 def _templates(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored main lines written as the templates that a dictionary would state them with: ``word, num, templates, text``."""
-    codes = table(spark, sf, "languages").groupBy(F.col("name").alias("lang")).agg(F.min("wikt_code").alias("code"))
-    s = lineage.spines(stored_nodes(spark, sf)).select("word_id", "tree_no", F.explode("spine").alias("s")).select("word_id", "tree_no", "s.*").where("pos > 0")
-    s = s.join(codes, "lang", "left")
+    """Stored main lines written as the templates that a dictionary would state them with, languages by name: ``word, num, templates, text``."""
     names = {"inherited": "inh", "borrowed": "bor", "derived": "der", "calque": "cal", "root": "root", "formed_from": "af"}
-    name = F.coalesce(classify.lookup(names, F.col("rel")), F.lit("der"))
-    args = F.map_from_arrays(F.array(*[F.lit(k) for k in "123"]), F.array(F.lit("en"), F.coalesce("code", "lang"), F.coalesce("term", F.lit("-"))))
-    t = s.groupBy("word_id", "tree_no").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\u0001", F.lpad("pos", 6, "0"), name, F.to_json(args)))), "\u0002").alias("packed"))
-    rows = F.transform(F.split("packed", "\u0002"), lambda x: F.split(x, "\u0001"))
-    listed = F.transform(rows, lambda x: F.struct(x[1].alias("name"), F.from_json(x[2], "map<string,string>").alias("args")))
+
+    def template(step: Column) -> Column:
+        term = F.coalesce(step["term"], F.lit("-"))
+        keyed = lambda *values: F.map_from_arrays(F.array(*[F.lit(str(k + 1)) for k in range(len(values))]), F.array(*values))
+        # a part's own language comes first, a donor's behind that of the word
+        args = F.when(step["rel"] == "formed_from", keyed(F.coalesce(step["lang"], F.lit("en")), term)).otherwise(keyed(F.lit("en"), step["lang"], term))
+        return F.struct(classify.lookup(names, step["rel"], "der").alias("name"), args.alias("args"))
+
+    s = lineage.spines(stored_nodes(spark, sf)).where(F.size("spine") > 1)
     w = table(spark, sf, "word").select("word_id", F.coalesce("headword", F.lit("")).alias("word"))
-    return t.join(w, "word_id").select("word", F.col("tree_no").cast("int").alias("num"), listed.alias("templates"), F.lit(None).cast("string").alias("text"))
+    templates = F.transform(F.slice("spine", F.lit(2), F.size("spine")), template)
+    return s.join(w, "word_id").select("word", F.col("tree_no").cast("int").alias("num"), templates.alias("templates"), F.lit(None).cast("string").alias("text"))
 
 
 @query()

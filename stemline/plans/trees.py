@@ -30,9 +30,13 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     return n.withColumn("rel", F.coalesce("rel", "reltype")).drop("reltype")
 
 
-def bucketed(spark: SparkSession, sf: str) -> DataFrame:
-    """The nodes with the group of their language."""
-    return classify.with_bucket(nodes(spark, sf), "lang", table(spark, sf, "languages"))
+def _with_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """Nodes, main lines with the groups of their languages, primary trees, answering forms, and lines through components."""
+    n = cut(nodes(spark, sf))
+    s = cut(lineage.spines(classify.with_bucket(n, "lang", table(spark, sf, "languages"))))
+    prime = cut(lineage.primary(s))
+    forms = _answering_forms(spark, sf)
+    return n, s, prime, forms, lineage.lineages(prime, lineage.components(n, prime, forms))
 
 
 _IDS = "word_id, tree_no"
@@ -133,11 +137,8 @@ CASE WHEN abroad THEN chain[-1] ELSE flat END AS root, root_lang, CASE WHEN kind
 array_to_string(parts, '|') AS parts FROM a3""")
 def word_readings(spark, sf):
     """Every word in three readings, components followed into their own words."""
-    n = cut(bucketed(spark, sf))
-    s = cut(lineage.spines(n))
-    prime = cut(lineage.primary(s))
-    lines = lineage.lineages(prime, lineage.components(n, prime, _answering_forms(spark, sf)))
-    return lineage.resolved(lines, n, prime, lineage.statuses(table(spark, sf, "word"), s)).withColumn("parts", F.array_join("parts", "|"))
+    n, s, prime, _, lines = _with_lines(spark, sf)
+    return lineage.resolved(lines, n, prime, lineage.statuses(table(spark, sf, "word"), s), table(spark, sf, "languages")).withColumn("parts", F.array_join("parts", "|"))
 
 
 _DRAWN = _PRIMARY + f""", {_FORMS_CTE},
@@ -345,12 +346,9 @@ def stub_trees(spark, sf):
 @query("SELECT CAST(0 AS BIGINT) AS strays")
 def line_strays(spark, sf):
     """How many languages of lines through components and of the roots read from them the word's own drawn tree lacks: none are expected."""
-    n = cut(bucketed(spark, sf))
-    s = cut(lineage.spines(n))
-    prime = cut(lineage.primary(s))
-    forms = cut(_answering_forms(spark, sf))
-    lines = cut(lineage.lineages(prime, lineage.components(n, prime, forms)))
-    read = lineage.resolved(lines, n, prime, lineage.statuses(table(spark, sf, "word"), s)).select("word_id", "root_lang")
+    n, s, prime, forms, lines = _with_lines(spark, sf)
+    lines = cut(lines)
+    read = lineage.resolved(lines, n, prime, lineage.statuses(table(spark, sf, "word"), s), table(spark, sf, "languages")).select("word_id", "root_lang")
     return lineage.strays(lines, lineage.drawn(lineage.trees_drawn(n, prime, forms), n), read).agg(F.count(F.lit(1)).alias("strays"))
 
 

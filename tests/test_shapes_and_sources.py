@@ -28,7 +28,7 @@ CASES = {
     "darkness": [t("suffix", "en", "dark", "ness")],
     "outlet": [t("surf", "+deverbal", "en", "let")],
     "geology": [t("confix", "en", "geo", "log", "y"), t("prefix", "en", "un", "geo")],
-    "colons": [t("af", "en", "zz:top", ":af", "frm:porter<alt:porte><t:carry>", "x#Noun", "y<z", "y<z")],
+    "colons": [t("af", "en", "zz:top", ":af", "frm:porter<alt:porte><t:carry>", "x#Noun", "y<z", "y<z", "v<t:b<c>d>w", "<alt: >", "u>", "s<alt:r#1>")],
     "government": [t("bor", "en", "fro", "governement"), t("suffix", "en", "govern", "ment")],
     "telephone": [t("der", "en", "la", "a"), t("bor", "en", "fro", "b"), t("der", "en", "ar", "c"), t("af", "en", "tele-", "phone")],
     "nightmare": [t("af", "en", "night", "mare"), t("root", "en", "ine-pro", "*mer-")],
@@ -87,7 +87,7 @@ def test_parts(trees):
     assert trees["obvious"][0][0] == "fork" and parts("obvious") == [("Latin", "obvius", False), ("English", "-ous", True)]
     assert parts("darkness") == [("English", "dark", False), ("English", "ness", True)] and parts("outlet") == [("English", "let", False)]
     assert parts("geology") == [("English", "geo", True), ("English", "log", False), ("English", "y", True), ("English", "un", True)]
-    assert parts("colons") == [("English", "zz:top", False), ("Middle French", "porte", False), ("English", "x", False), ("English", "y", False)]
+    assert parts("colons") == [("English", "zz:top", False), ("Middle French", "porte", False), ("English", "x", False), ("English", "y", False), ("English", "vw", False), ("English", "u>", False), ("English", "s", False)]
     assert trees["government"][0][0] == "mixed" and parts("phone") == [("English", "telephone", False)] and parts("edit") == [("English", "editor", False)]
     tele = trees["telephone"]
     assert len(tele) == 1 and [n.parent for n in tele[0][1]].count(0) == 4
@@ -120,7 +120,6 @@ def test_vocabulary(trees):
 def test_brackets():
     assert shapes.split_groups("a<b<c>><d>") == ("a", ["b<c>", "d"])
     assert shapes.split_groups("a<b") is None and shapes.split_groups("a>b<") is None
-    assert shapes.clean_term("a<b") == ("a", None) and shapes.clean_term("x#y<t:g>") == ("x", "g") and shapes.clean_term(":x") == (None, None)
 
 
 LINES = [
