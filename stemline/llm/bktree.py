@@ -17,24 +17,41 @@ SHARD_ROWS = 50_000
 BLOCK_QUERIES = 20_000
 
 
-def distance(a: str, b: str) -> int:
-    """Damerau-Levenshtein without restriction (a moved neighbour may be edited again), so the triangle inequality holds."""
+def distance(a: str, b: str, limit: int = 1 << 30) -> int:
+    """Damerau-Levenshtein without restriction (a moved neighbour may be edited again), so the triangle inequality holds.
+
+    Beyond ``limit`` any number above it may come out: the least of a row never falls from row to row.
+    """
     if a == b:
         return 0
     if not a or not b:
         return len(a) + len(b)
+    if abs(len(a) - len(b)) > limit:
+        return limit + 1
     last: dict[str, int] = {}
     far = len(a) + len(b)
     rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
         row, above = [far, i] + [0] * len(b), rows[-1]
-        same = 0
+        same, least, left = 0, i, i
         for j, y in enumerate(b, 1):
-            k, m = last.get(y, 0), same
-            cost = 1
-            if x == y:
-                cost, same = 0, j
-            row[j + 1] = min(above[j] + cost, row[j] + 1, above[j + 1] + 1, rows[k][m] + (i - k - 1) + 1 + (j - m - 1))
+            best, hit = above[j] + (x != y), x == y
+            if left + 1 < best:
+                best = left + 1
+            if above[j + 1] + 1 < best:
+                best = above[j + 1] + 1
+            # two letters in the other order, with what stands between them
+            if same and (k := last.get(y)):
+                moved = rows[k][same] + (i - k) + (j - same - 1)
+                if moved < best:
+                    best = moved
+            if hit:
+                same = j
+            row[j + 1] = left = best
+            if best < least:
+                least = best
+        if least > limit:
+            return limit + 1
         last[x] = i
         rows.append(row)
     return rows[-1][-1]
@@ -72,7 +89,8 @@ class BKTree:
         out, stack = [], [self.root] if self.root else []
         while stack:
             entry, below = stack.pop()
-            d = distance(query, entry)
+            # a distance matters only as far as it reaches the entry or a branch
+            d = distance(query, entry, max(below, default=0) + most)
             if d <= most:
                 out.append((d, entry))
             stack.extend(node for k, node in below.items() if d - most <= k <= d + most)
