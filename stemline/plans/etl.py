@@ -242,13 +242,13 @@ def nested_roundtrip(spark, sf):
 
 
 @query(f"""WITH {_LEX}, tok AS (SELECT time_bucket(INTERVAL 30 DAYS, CAST(published_at AS TIMESTAMP), TIMESTAMP '1970-01-01') AS start, unnest({TOKENS}) AS token FROM documents WHERE published_at IS NOT NULL)
-SELECT start, coalesce(bucket, 'Unknown') AS bucket, count(*) AS votes FROM tok LEFT JOIN lex ON form = token GROUP BY ALL""")
+SELECT CAST(epoch(start) AS BIGINT) AS start, coalesce(bucket, 'Unknown') AS bucket, count(*) AS votes FROM tok LEFT JOIN lex ON form = token GROUP BY ALL""")
 def streamed_bucket_votes(spark, sf):
-    """The shares of the corpus by months of publication, through a stream of its files."""
+    """The votes of the corpus by windows of 30 days of publication (``start`` in seconds since 1970), through a stream of its files."""
     static = table(spark, sf, "documents")
     # a glob, so that the table may be one file or a folder of files
     d = streamed.read_documents(spark, f"{sf}/documents.parque[t]", static.schema)
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = streamed.write_votes(streamed.votes(d, cut(lexicon_known(spark, sf))), f"{base}/out", f"{base}/state")
     q.awaitTermination()
-    return streamed.current_votes(spark, f"{base}/out")
+    return streamed.current_votes(spark, f"{base}/out").withColumn("start", F.unix_timestamp("start"))
